@@ -64,7 +64,7 @@ class Block:
         return part[order], [words[i] for i in order], new
 
 
-def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], pattern: str, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of a partition's rows (doc_id, text); their cut depends on the rows alone, not on the batches."""
     split = regex.compile(pattern).findall
     first = TaskContext.get().partitionId() << 24
@@ -76,10 +76,10 @@ def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[Block]:
             tokens.append(split(t))
             held += len(t)
             block.bytes += len(t)
-            if held >= CHUNK_BYTES or block.bytes >= BLOCK_BYTES:
+            if held >= CHUNK_BYTES or block.bytes >= limit:
                 block.add(ids, tokens)
                 ids, tokens, held = [], [], 0
-            if block.bytes >= BLOCK_BYTES:
+            if block.bytes >= limit:
                 yield block
                 block = Block(block.number + 1)
     if ids:

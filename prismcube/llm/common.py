@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import zstandard
@@ -12,6 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, when it is not installed."""
+    home = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (home, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one is set only where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
