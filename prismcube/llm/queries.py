@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from prismcube.llm import bpe, embed_dedup, near_dedup, packing, suffix_dedup, word_dedup
 from prismcube.llm.common import importable
-from prismcube.llm import bpe, packing, suffix_dedup, word_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -26,9 +30,20 @@ def op8_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_dedup.repeated_words_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op8_word_dedup": op8_word_dedup, "op7_bpe": op7_bpe, "op10_packing": op10_packing}
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_near_dedup": op3_near_dedup,
+    "op7_bpe": op7_bpe,
+    "op8_word_dedup": op8_word_dedup,
+    "op9_embed_dedup": op9_embed_dedup,
+    "op10_packing": op10_packing,
+}
 SQL: dict[str, str] = {}

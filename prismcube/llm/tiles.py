@@ -1,0 +1,92 @@
+"""Comparing the members of clusters pairwise, in tiles of bounded size, without emitting pairs."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prismcube.llm.common import partitions, stored
+
+#: Members and payload bytes in a tile, at most (a larger member is a tile of its own).
+MEMBERS, BYTES = 512, 4 << 20
+
+
+class Tile(NamedTuple):
+    reps: list[int]
+    clusters: np.ndarray
+    payloads: list[bytes]
+
+    def by_cluster(self) -> dict[int, np.ndarray]:
+        return {int(c): np.flatnonzero(self.clusters == c) for c in np.unique(self.clusters)}
+
+
+def spanning(tile: Tile, pairs, same: Callable[[int, int], bool], other: Tile | None = None) -> list[tuple[int, int]]:
+    """Of pairs of places (the likeliest first) those that are the same and join what earlier ones did not."""
+    root: dict[int, int] = {}
+    out = []
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    theirs = (other or tile).reps
+    for i, j in pairs:
+        u, v = tile.reps[i], theirs[j]
+        x, y = find(u), find(v)
+        if x != y and same(i, j):
+            root[max(x, y)] = min(x, y)
+            out.append((u, v))
+    return out
+
+
+def forests(items: DataFrame, link: Callable[[Tile, Tile | None], list[tuple[int, int]]]) -> DataFrame:
+    """u, v: link() of every tile by itself and of every two tiles that share a cluster.
+
+    items: rep, cluster, payload. Tiles follow the order of (cluster, rep), so small clusters lie in one tile; pairs of
+    tiles are found by their clusters alone. The output of a tile pair is a forest, at most a row for each member.
+    """
+    items = stored(items, "members")
+    n = max(1, min(partitions(items.sparkSession), -(-items.count() // MEMBERS)))
+
+    def cut(batches):
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def tile():
+            columns = [[number], *([[r[k] for r in held]] for k in range(3))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())))], names=["tile", "reps", "clusters", "payloads"])
+
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and (len(held) == MEMBERS or size + len(r[2]) > BYTES):
+                    yield tile()
+                    number, held, size = number + 1, [], 0
+                held.append(r)
+                size += len(r[2])
+        if held:
+            yield tile()
+
+    def edges(batches):
+        for b in batches:
+            out = []
+            for x in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True):
+                a, *rest = (Tile(r, np.array(c), p) for r, c, p in zip(x[::3], x[1::3], x[2::3]))
+                out += link(a, rest[0] if rest else None)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    by = ["cluster", "rep"]
+    columns = ["reps", "clusters", "payloads"]
+    tile = stored(items.select("rep", "cluster", "payload").repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(cut, "tile long, reps array<long>, clusters array<long>, payloads array<binary>"), "tiles")
+    span = tile.select("tile", F.explode(F.array_distinct("clusters")).alias("cluster"))
+    span = span.join(span.groupBy("cluster").agg(F.count(F.lit(1)).alias("tiles")).where("tiles > 1"), "cluster")
+    pair = span.alias("x").join(span.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.tile") < F.col("y.tile"))).select(F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
+    side = lambda name: tile.select(F.col("tile").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+    joined = pair.join(side("a"), "a").join(side("b"), "b").select(*(f"{x}_{c}" for x in "ab" for c in columns))
+    return tile.select(*columns).mapInArrow(edges, "u long, v long").union(joined.mapInArrow(edges, "u long, v long"))
