@@ -1,7 +1,7 @@
 """Packing documents into fixed-length sequences along a space-filling curve.
 
-Each document's hashed word vector (a set of words, each hashed to a bucket) is projected by a fixed random matrix to
-DIMS coordinates and their cell gets a Hilbert number. Documents are range-sorted by that number, so neighbours on the
+Each document's hashed vector (the frequencies of its tokens, each hashed to a bucket) is projected by a fixed random
+matrix to DIMS coordinates and their cell gets a Hilbert number. Documents are range-sorted by that number, so neighbours on the
 curve share words, and every range is packed on its own: its documents are laid end to end and cut at every ``length``
 ids. What remains at the end of a range is cut at powers of two, largest first, so no sequence needs padding. Nothing
 is gathered on the driver, and ties on the curve (copies) are split by document and position, so a group of copies of
@@ -14,22 +14,22 @@ more than CHUNK_IDS ids travel as several rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from prismcube.llm.bpe import blocks
-from prismcube.llm.common import documents, pack_planes, partitions, spread, stored, unpack_planes
+from prismcube.llm.common import documents, pack_planes, partitions, stored, unpack_planes
 
 DIMS, BITS = 4, 10
-#: Buckets of the hashed document vector.
-BUCKETS = 1 << 16
+#: Buckets of the hashed document vector, and the factor that spreads its projections over the cells.
+BUCKETS, SPREAD = 1 << 16, 16.0
 #: Ids in a row of the shuffle, at most.
 CHUNK_IDS = 1 << 16
-#: Text bytes tokenised in one block: bounds a task's memory.
-BLOCK_BYTES = 8 << 20
+#: Text bytes tokenised at a time.
+PIECE_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -67,16 +67,45 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(codes: np.ndarray, ends: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """Hilbert numbers of documents: codes are word numbers, ends their cut by document, buckets those of the words."""
-    plane = np.random.default_rng(7).choice(np.array([-1.0, 1.0]), (BUCKETS, DIMS))
-    doc = np.repeat(np.arange(len(ends), dtype=np.int64), np.diff(ends, prepend=0))
-    distinct = np.unique(doc << 32 | codes)
-    doc, word = distinct >> 32, distinct & 0xFFFFFFFF
-    at = np.stack([np.bincount(doc, plane[buckets[word], k], len(ends)) for k in range(DIMS)], 1)
-    at /= np.sqrt(np.maximum(np.bincount(doc, minlength=len(ends)), 1))[:, None]
-    cells = np.minimum((2**BITS / (1 + np.exp(-1.7 * at))).astype(np.int64), 2**BITS - 1)
-    return hilbert(cells, BITS)
+def curve_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hilbert numbers of documents (ends: where each ends in ids): token frequencies, hashed to buckets, projected."""
+    plane = np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (BUCKETS, DIMS))
+    sums = np.add.reduceat(plane[ids & (BUCKETS - 1)], np.append(0, ends[:-1]), axis=0, dtype=np.float64)
+    at = SPREAD * sums / np.diff(ends, prepend=0)[:, None]
+    return hilbert(np.minimum((2**BITS / (1 + np.exp(-at))).astype(np.int64), 2**BITS - 1), BITS)
+
+
+class Encoder:
+    """Ids of a byte-level BPE vocabulary file; the strings of special tokens are ordinary text.
+
+    Where the file's merges are in the order of their ids (as a rank file has them), the rank encoder runs, which gives
+    the same ids in a third of the time; else, and for a text that it refuses, the file's own library.
+    """
+
+    def __init__(self, data: str, pattern: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_str(data)
+        self.whole.encode_special_tokens = True
+        model = json.loads(data)["model"]
+        byte_of = {letter: b for b, letter in byte_letters().items()}
+        special = {t["content"] for t in json.loads(data).get("added_tokens", ())}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        numbers = [model["vocab"].get("".join(m), -1) for m in merges]
+        self.ranked = None
+        if numbers == sorted(set(numbers)) and len(numbers) + 256 == len(ranks):
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.ranked is not None:
+            try:
+                return np.array(self.ranked.encode_ordinary(text), np.uint32)
+            except ValueError:  # its pattern matcher's limits
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def powers(n: int) -> list[int]:
@@ -91,26 +120,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
         vocabulary = spark.sparkContext.broadcast(f.read())  # one vocabulary file: its size is fixed
 
     def tokenised(batches):
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(vocabulary.value).model
-        letters = byte_letters()
-        for b in blocks(batches, pattern, BLOCK_BYTES):
-            words = list(b.words)
-            ids = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            table = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-            starts = np.cumsum(counts) - counts
-            codes = np.concatenate([*b.codes, np.zeros(0, np.int32)])
-            ends = np.cumsum(np.array(b.counts, np.int64))
-            buckets = np.fromiter((zlib.crc32(w.encode()) & BUCKETS - 1 for w in words), np.int64, len(words))
-            keys, at, rows = curve_keys(codes.astype(np.int64), ends, buckets), 0, []
-            for doc, key, end in zip(b.ids, keys.tolist(), ends.tolist(), strict=True):
-                own = codes[at:end]
-                at = end
-                whole = np.append(table[spread(starts[own], counts[own])], np.uint32(end_id))
-                rows += [(key, doc, s, len(whole), pack_planes(whole[s : s + CHUNK_IDS], 1)) for s in range(0, len(whole), CHUNK_IDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc_id", "start", "doc_tokens", "ids"])
+        encode = Encoder(vocabulary.value, pattern)
+        for b in batches:
+            first, size, column = 0, 0, b.column(1)
+            for i, t in enumerate(column):
+                size += len(t.as_buffer())
+                if size < PIECE_BYTES and i + 1 < len(column):
+                    continue
+                docs = [np.append(encode(x.as_py()), np.uint32(end_id)) for x in column.slice(first, i + 1 - first)]
+                keys = curve_keys(np.concatenate(docs), np.cumsum([len(x) for x in docs]))
+                names = b.column(0).slice(first, i + 1 - first).to_pylist()
+                rows = [(key, doc, s, len(ids), pack_planes(ids[s : s + CHUNK_IDS], 1)) for key, doc, ids in zip(keys.tolist(), names, docs) for s in range(0, len(ids), CHUNK_IDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc_id", "start", "doc_tokens", "ids"])
+                first, size = i + 1, 0
 
     def packed(batches):
         from pyspark import TaskContext
