@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismcube.llm import bpe, embed_dedup, near_dedup, packing, suffix_dedup, word_dedup
+from prismcube.llm import bpe, embed_dedup, licenses, media, near_dedup, packing, suffix_dedup, toxicity, urls, word_dedup
 from prismcube.llm.common import importable
 
 
@@ -18,10 +18,31 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes_digest(table(spark, sf_dir, "documents"))
 
 
+#: The rules that the registered url query judges by.
+RULES = [urls.Rule.of("allow", "com/"), urls.Rule.of("block", "example.com/en/"), urls.Rule.of("allow", "www.example.com/en/"), urls.Rule.of("block", "net/es/"), urls.Rule.of("block", "net/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of ``embeddings`` drawn as an image: near vectors are edited copies."""
+    return media.image_copies(media.drawn(table(spark, sf_dir, "embeddings")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -40,10 +61,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_near_dedup": op3_near_dedup,
+    "op4_licenses": op4_licenses,
+    "op5_toxicity": op5_toxicity,
+    "op6_media": op6_media,
     "op7_bpe": op7_bpe,
     "op8_word_dedup": op8_word_dedup,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_licenses": licenses.oracle()}
