@@ -131,7 +131,14 @@ def super_kmers(s: Symbols, k: int, m: int) -> Runs:
     first = np.flatnonzero(new & inside)
     doc = np.searchsorted(s.ends, first, side="right")
     end = np.minimum(np.append(first[1:], len(low)), starts[doc] + windows[doc])
-    return Runs(doc, first - starts[doc], end - first, mixed(low[first]) >> np.uint64(16), first)
+    key = mixed(low[first]) >> np.uint64(16)
+    cut = -(-(end - first) // k)  # in periodic text a run has no end: at most k windows travel as one string
+    if (cut > 1).any():
+        step = spread(np.zeros(len(cut), np.int64), cut) * k
+        first, end, doc, key = (np.repeat(x, cut) for x in (first, end, doc, key))
+        first = first + step
+        end = np.minimum(end, first + k)
+    return Runs(doc, first - starts[doc], end - first, key, first)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
