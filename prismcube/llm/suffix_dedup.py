@@ -14,6 +14,8 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from prismcube.llm import windows
 from prismcube.llm.windows import Symbols
@@ -43,54 +45,54 @@ def range_min(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 class Columns:
-    """The collection after each round; rows are suffixes in order, those of no symbols first."""
+    """The collection after each round; rows are suffixes in order, those of no symbols (one a string) left out.
+
+    A symbol stands for the row that it starts: sorting the symbols of all rows by themselves, ties in order, gives the
+    rows of the longer suffixes in order, and so where the new ones go.
+    """
 
     def __init__(self, strings: list[bytes], k: int) -> None:
         self.k, self.n = k, len(strings)
-        lengths = np.array([len(s) for s in strings], np.int64)
-        self.data = np.frombuffer(b"".join(strings), np.uint8)
-        self.ends, self.lengths = np.cumsum(lengths), lengths
-        self.string = np.arange(self.n, dtype=np.int32)
-        self.length = np.zeros(self.n, np.int32)
-        self.lcp = np.zeros(self.n, np.uint8)
-        self.bwt = np.full(self.n, END, np.uint8)
-        self.fresh = lengths > 0  # rows whose symbol starts a suffix that is not in the collection yet
-        self.bwt[self.fresh] = self.data[self.ends[self.fresh] - 1]
+        self.lengths = np.array([len(s) for s in strings], np.int32)
+        self.data, self.ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(self.lengths, dtype=np.int64)
+        some = self.lengths > 0
+        self.first = np.full(self.n, END, np.uint8)  # symbols of the rows of no symbols
+        self.first[some] = self.data[self.ends[some] - 1]
+        small = self.lengths.max(initial=0) < 256
+        number = "u1" if small else "<u2"
+        kind = [("string", "<u4"), ("length", number), ("lcp", number), ("symbol", "u1"), ("fresh", "?")]
+        #: symbol: the one before the suffix; fresh: it starts a suffix that is not in the collection yet.
+        self.rows = np.zeros(0, np.dtype(kind if small else [*kind, ("", "V6")]))
+        self.whole = np.dtype("<u8" if small else "<c16")  # a row, to be moved as one value
 
     def insert(self, size: int) -> None:
         """One round: the suffixes of ``size`` symbols, of all strings that are as long."""
-        order = np.argsort(self.bwt, kind="stable")
-        order = order[: len(order) - int(np.count_nonzero(self.bwt == END))]
-        new = self.fresh[order]
-        symbol = self.bwt[order]
-        lcp = np.zeros(len(order), np.uint8)
-        lcp[~new] = self.lcp[self.n :]
+        symbols = np.concatenate([self.first, self.rows["symbol"]])
+        order = np.argsort(symbols, kind="stable")
+        order = order[: len(order) - int(np.count_nonzero(symbols == END))]
+        new = np.concatenate([np.full(self.n, size == 1), self.rows["fresh"]])[order]
+        at = np.flatnonzero(new)
+        before = order[at]
+        own = before if size == 1 else self.rows["string"][before - self.n]
+        rows = np.empty(len(order), self.rows.dtype)
+        rows.view(self.whole)[~new] = self.rows.view(self.whole)
+        rows["fresh"] = False
         ask = new.copy()
         ask[1:] |= new[:-1]
         ask = np.flatnonzero(ask)
-        lcp[ask] = 0
-        ask = ask[ask > 0]
-        ask = ask[symbol[ask] == symbol[ask - 1]]
-        if len(ask):
-            lcp[ask] = np.minimum(range_min(self.lcp, order[ask - 1], order[ask]) + 1, self.k)
-        string = np.empty(len(order), np.int32)
-        string[~new] = self.string[self.n :]
-        own = self.string[order[new]]
-        string[new] = own
-        length = np.empty(len(order), np.int32)
-        length[~new] = self.length[self.n :]
-        length[new] = size
+        lcp = np.zeros(len(ask), rows.dtype["lcp"])
+        place = np.flatnonzero((ask > 0) & (symbols[order[ask]] == symbols[order[ask - 1]]))
+        if len(place):
+            shorter = np.concatenate([np.zeros(self.n, rows.dtype["lcp"]), self.rows["lcp"]])
+            lcp[place] = np.minimum(range_min(shorter, order[ask[place] - 1], order[ask[place]]), self.k - 1) + 1
         longer = self.lengths[own] > size
         ahead = np.full(len(own), END, np.uint8)
         ahead[longer] = self.data[self.ends[own[longer]] - size - 1]
-        bwt = np.empty(len(order), np.uint8)
-        bwt[~new] = self.bwt[self.n :]
-        bwt[new] = ahead
-        fresh = np.zeros(len(order), bool)
-        fresh[new] = longer
-        self.string, self.length = (np.concatenate([x[: self.n], y]) for x, y in ((self.string, string), (self.length, length)))
-        self.lcp, self.bwt = (np.concatenate([x[: self.n], y]) for x, y in ((self.lcp, lcp), (self.bwt, bwt)))
-        self.fresh = np.concatenate([np.zeros(self.n, bool), fresh])
+        added = np.zeros(len(own), rows.dtype)
+        added["string"], added["length"], added["symbol"], added["fresh"] = own, size, ahead, longer
+        rows[at] = added
+        rows["lcp"][ask] = lcp
+        self.rows = rows
 
     def build(self) -> Columns:
         for size in range(1, int(self.lengths.max(initial=0)) + 1):
@@ -98,10 +100,6 @@ class Columns:
         return self
 
 
-#: Symbols put into one collection at a time; a larger part is built as several collections and their classes joined.
-COLLECTION = 6 << 20
-
-
 class Bytes:
     """Symbols are bytes; windows are told apart by the collection's order."""
 
@@ -110,16 +108,22 @@ class Bytes:
         self.hash = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64, endpoint=False)
 
     def symbols(self, texts: list[bytes]) -> Symbols:
+        data, cuts = self.cuts(texts)
+        return Symbols(self.hash[np.frombuffer(data, np.uint8)], np.cumsum(np.array([len(t) for t in texts], np.int64)), data, cuts)
+
+    def cuts(self, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
         data = b"".join(texts)
-        ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
-        return Symbols(self.hash[np.frombuffer(data, np.uint8)], ends, data, np.arange(len(data) + 1))
+        return data, np.arange(len(data) + 1)
+
+    def size(self, string: bytes) -> int:
+        return len(string)
 
     def classes(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c = Columns(strings, self.k).build()
-        whole = c.length >= self.k
-        cls = np.cumsum(c.lcp < self.k)[whole]
-        string = c.string[whole].astype(np.int64)
-        return string, c.lengths[string] - c.length[whole], np.unique(cls, return_inverse=True)[1]
+        whole = c.rows["length"] >= self.k
+        cls = np.cumsum(c.rows["lcp"] < self.k)[whole]
+        string = c.rows["string"][whole].astype(np.int64)
+        return string, c.lengths[string] - c.rows["length"][whole].astype(np.int64), np.unique(cls, return_inverse=True)[1]
 
 
 def runs_as_list(runs: np.ndarray) -> list[dict]:
@@ -149,3 +153,19 @@ def repeated_bytes_digest(docs: DataFrame, k: int = 50, key: str = "doc_id", tex
         return doc, len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(without(data, runs)).hexdigest()
 
     return windows.remove_repeats(docs, Bytes(k), row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", key, text)
+
+
+def without_repeats(docs: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with the repeated bytes taken out of their texts, all columns in place; ``length``, if there, is counted anew.
+
+    Bytes of a character that was cut apart go with its removed part. A null text stays null only as empty text.
+    """
+
+    def row(doc, data, rest, runs):
+        return doc, without(data, runs).decode("utf-8", "ignore"), rest
+
+    others = [f for f in docs.schema.fields if f.name not in (key, text)]
+    kept = windows.remove_repeats(docs, Bytes(k), row, "doc_id long, kept string, rest string", key, text)
+    whole = kept.select("doc_id", "kept", F.from_json("rest", StructType(others)).alias("rest")) if others else kept
+    columns = {key: F.col("doc_id").cast(docs.schema[key].dataType), text: F.col("kept"), length: F.char_length("kept").cast("long")}
+    return whole.select(*(columns[c].alias(c) if c in (key, text) or c == length and c in docs.columns else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

@@ -11,7 +11,8 @@ The common frame of the two substring operators; a Method says what a symbol is
    the smallest and largest document. Hot minimisers fall apart: their windows travel one by one to the part of the
    window's own hash, again each distinct one once for a sheet, so no key gathers a share of the corpus in one task.
 4. Answers. A part finds the classes of equal windows exactly (Method.classes) and answers each sheet with the runs of
-   windows that also start in a smaller document. The sheet applies them to its texts.
+   windows that also start in a smaller document. The sheet applies them to its texts. Equal windows are under one
+   minimiser, so a string that is the only one under its own needs no classes.
 
 Hashes only choose parts and candidates; equality is decided on the symbols themselves. Sheets are computed more than
 once, so the input must be a scan (a table read from storage), whose partitions are the same each time.
@@ -37,7 +38,7 @@ from pyspark.sql.types import StructType
 from prismcube.llm.common import pack, pack_planes, partitions, spread, unpack, unpack_planes
 
 #: Text bytes in a sheet, and in a piece of it that is hashed at a time: bound a task's memory.
-SHEET_BYTES, PIECE_BYTES = 32 << 20, 1 << 19
+SHEET_BYTES, PIECE_BYTES = 16 << 20, 1 << 19
 #: Parts for each shuffle partition.
 PARTS = 4
 #: Super-k-mers with one minimiser from which on it is hot.
@@ -61,6 +62,14 @@ class Method(Protocol):
 
     def symbols(self, texts: list[bytes]) -> Symbols: ...
 
+    def cuts(self, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """The last two of symbols()."""
+        ...
+
+    def size(self, string: bytes) -> int:
+        """Symbols in a string."""
+        ...
+
     def classes(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every window of every string: the string, the window's place in it, the number of its class of equals."""
         ...
@@ -209,19 +218,32 @@ def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[Sheet]:
         yield s
 
 
-def sheet_keys(s: Sheet, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, how many super-k-mers have each, and whether two documents do."""
-    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+class Keys(NamedTuple):
+    """Distinct keys of a sheet in order, how many super-k-mers have each, whether two documents do; the pieces' runs and keys' numbers."""
+
+    key: np.ndarray
+    count: np.ndarray
+    multi: np.ndarray
+    runs: list[Runs]
+    numbers: list[np.ndarray]
+
+
+def sheet_keys(s: Sheet, method: Method) -> Keys:
+    runs, firsts = [], []
     for first, texts in s.pieces():
         r = super_kmers(method.symbols(texts), method.k, method.m)
-        keys.append(r.key)
-        docs.append(r.doc + first)
-    key, doc = np.concatenate(keys), np.concatenate(docs)
+        runs.append(Runs(r.doc.astype(np.int32), r.start.astype(np.int32), r.count.astype(np.int32), r.key, r.at.astype(np.int32)))
+        firsts.append(first)
+    key = np.concatenate([np.zeros(0, np.uint64), *(r.key for r in runs)])
+    doc = np.concatenate([np.zeros(0, np.int32), *(r.doc + np.int32(f) for r, f in zip(runs, firsts))])
     by = np.argsort(key, kind="stable")
     key, doc = key[by], doc[by]
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     last = np.append(at[1:], len(key)) - 1
-    return key[at], last - at + 1, doc[at] != doc[last[: len(at)]]
+    number = np.empty(len(key), np.int32)
+    number[by] = np.repeat(np.arange(len(at), dtype=np.int32), last[: len(at)] - at + 1)
+    cuts = np.cumsum([len(r.key) for r in runs])[:-1]
+    return Keys(key[at], last[: len(at)] - at + 1, doc[at] != doc[last[: len(at)]], runs, np.split(number, cuts) if runs else [])
 
 
 def judge_keys(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,7 +264,8 @@ def judge_keys(pdf: pd.DataFrame) -> pd.DataFrame:
 class Candidates(NamedTuple):
     """The strings a sheet sends, and where they occur in it."""
 
-    strings: pa.Array  # distinct, by part
+    strings: pa.Array  # distinct, by key
+    key: np.ndarray
     part: np.ndarray
     low: np.ndarray  # smallest and largest document of each
     high: np.ndarray
@@ -252,51 +275,58 @@ class Candidates(NamedTuple):
 
 
 def candidates(s: Sheet, answers: pd.DataFrame, method: Method, parts: int) -> Candidates:
-    keys, _, _ = sheet_keys(s, method)
+    _, _, _, runs, numbers = sheet_keys(s, method)
     rows = answers[answers["kind"] == 0].sort_values("part")
     bits = np.concatenate([unpack(x, np.uint8) for x in rows["answer"]] or [np.zeros(0, np.uint8)])
-    keys, bits = keys[bits > 0], bits[bits > 0]
-    strings, part, doc, start = [], [], [], []
-    if len(keys):
-        for first, texts in s.pieces():
-            sym = method.symbols(texts)
-            r = super_kmers(sym, method.k, method.m)
-            at = np.minimum(np.searchsorted(keys, r.key), len(keys) - 1)
-            kind = np.where(keys[at] == r.key, bits[at], 0)
-            r = Runs(*(x[kind > 0] for x in r))
-            hot = kind[kind > 0] >= 2
-            if hot.any():  # single windows, each under its own hash
-                n = np.where(hot, r.count, 1)
-                own = gram_hashes(sym.hashes, method.k) >> np.uint64(16)
-                step = spread(np.zeros(len(n), np.int64), n)
-                begin = np.repeat(r.at, n) + step
-                one = np.repeat(hot, n)
-                r = Runs(np.repeat(r.doc, n), np.repeat(r.start, n) + step, np.where(one, 1, np.repeat(r.count, n)), np.where(one, own[np.minimum(begin, len(own) - 1)], np.repeat(r.key, n)), begin)
-            if not len(r.doc):
-                continue
-            low, high = sym.cuts[r.at], sym.cuts[r.at + r.count + method.k - 1]
-            raw = np.frombuffer(sym.data, np.uint8)[spread(low, high - low)]
-            cut = np.concatenate([[0], np.cumsum(high - low)])
-            strings.append(pa.Array.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw)]))
-            part.append(part_of(r.key, parts))
-            doc.append(r.doc + first)
-            start.append(r.start)
+    strings, key, doc, start = [], [], [], []
+    for (first, texts), r, number in zip(s.pieces(), runs, numbers) if bits.any() else ():
+        kind = bits[number]
+        r = Runs(*(x[kind > 0] for x in r))
+        if not len(r.doc):
+            continue
+        hot = kind[kind > 0] >= 2
+        if hot.any():  # single windows, each under its own hash
+            n = np.where(hot, r.count, 1).astype(np.int64)
+            own = gram_hashes(method.symbols(texts).hashes, method.k) >> np.uint64(16)
+            step = spread(np.zeros(len(n), np.int64), n)
+            begin, one = np.repeat(r.at, n) + step, np.repeat(hot, n)
+            r = Runs(np.repeat(r.doc, n), np.repeat(r.start, n) + step, np.where(one, 1, np.repeat(r.count, n)), np.where(one, own[np.minimum(begin, len(own) - 1)], np.repeat(r.key, n)), begin)
+        data, cuts = method.cuts(texts)
+        strings.append(pa.array([data[a:b] for a, b in zip(cuts[r.at].tolist(), cuts[r.at + r.count + method.k - 1].tolist())], pa.large_binary()))
+        key.append(r.key)
+        doc.append(r.doc.astype(np.int64) + first)
+        start.append(r.start.astype(np.int64))
     empty = np.zeros(0, np.int64)
     if not strings:
-        return Candidates(pa.array([], pa.large_binary()), *(empty,) * 6)
+        return Candidates(pa.array([], pa.large_binary()), empty.astype(np.uint64), *(empty,) * 6)
     coded = pa.chunked_array(strings).combine_chunks().dictionary_encode()
-    number, part, doc, start = coded.indices.to_numpy().astype(np.int64), *(np.concatenate(x) for x in (part, doc, start))
+    number, key, doc, start = coded.indices.to_numpy().astype(np.int64), *(np.concatenate(x) for x in (key, doc, start))
     n = len(coded.dictionary)
     first = np.empty(n, np.int64)
     first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
-    by = np.argsort(part[first], kind="stable")
+    by = np.argsort(key[first], kind="stable")
     new = np.empty(n, np.int64)
     new[by] = np.arange(n)
-    number, ids = new[number], s.order()[doc]
+    number, ids, key = new[number], s.order()[doc], key[first][by]
     low, high = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min)
     np.minimum.at(low, number, ids)
     np.maximum.at(high, number, ids)
-    return Candidates(coded.dictionary.take(pa.array(by)), part[first][by], low, high, number, doc, start)
+    return Candidates(coded.dictionary.take(pa.array(by)), key, part_of(key, parts), low, high, number, doc, start)
+
+
+def window_classes(strings: list[bytes], key: np.ndarray, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Method.classes of distinct strings; one that is alone under its minimiser's key shares its windows with none."""
+    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    alone = times[back] == 1
+    mixed_, lone = np.flatnonzero(~alone), np.flatnonzero(alone)
+    string, place, cls = (np.zeros(0, np.int64),) * 3
+    if len(mixed_):
+        string, place, cls = method.classes([strings[i] for i in mixed_])
+        string = mixed_[string]
+    have = np.fromiter((method.size(strings[i]) for i in lone), np.int64, len(lone)) - method.k + 1
+    more = np.repeat(lone, have)
+    step = spread(np.zeros(len(have), np.int64), have)
+    return np.append(string, more), np.append(place, step), np.append(cls, (int(cls.max()) + 1 if len(cls) else 0) + np.repeat(np.arange(len(lone)), have))
 
 
 def runs_of(pdf: pd.DataFrame, method: Method) -> pd.DataFrame:
@@ -308,9 +338,10 @@ def runs_of(pdf: pd.DataFrame, method: Method) -> pd.DataFrame:
     cut = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
     whole = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
     number, n = whole.indices.to_numpy().astype(np.int64), len(whole.dictionary)
-    least = np.full(n, LAST)
+    least, key = np.full(n, LAST), np.empty(n, np.uint64)
     np.minimum.at(least, number, low)
-    string, place, cls = method.classes(whole.dictionary.to_pylist())
+    key[number] = np.concatenate([np.cumsum(unpack_planes(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]])
+    string, place, cls = window_classes(whole.dictionary.to_pylist(), key, method)
     smallest = np.full(int(cls.max()) + 1 if len(cls) else 0, LAST)
     np.minimum.at(smallest, cls, least[string])
     by = np.lexsort((place, string))
@@ -390,7 +421,7 @@ def remove_repeats(docs: DataFrame, method: Method, apply, schema: str, key: str
 
     def send_keys(batches):
         for s in sheets(batches):
-            keys, counts, multi = sheet_keys(s, method)
+            keys, counts, multi, _, _ = sheet_keys(s, method)
             part = part_of(keys, parts)
             cut = np.searchsorted(part, np.arange(parts + 1))
             own = [p for p in range(parts) if cut[p] < cut[p + 1]]
@@ -414,8 +445,8 @@ def remove_repeats(docs: DataFrame, method: Method, apply, schema: str, key: str
             for p in np.unique(c.part).tolist():
                 a, b = int(cut[p]), int(cut[p + 1])
                 own = c.strings[a:b].to_pylist()
-                out.append((p, row.sheet, pack_planes(np.array([len(x) for x in own], np.uint32)), pack(b"".join(own)), pack_planes(c.low[a:b]), pack_planes(c.high[a:b])))
-        return pd.DataFrame(out, columns=["part", "sheet", "lengths", "strings", "low", "high"])
+                out.append((p, row.sheet, pack_planes(np.array([len(x) for x in own], np.uint32)), pack(b"".join(own)), pack_planes(np.diff(c.key[a:b], prepend=np.uint64(0))), pack_planes(c.low[a:b]), pack_planes(c.high[a:b])))
+        return pd.DataFrame(out, columns=["part", "sheet", "lengths", "strings", "keys", "low", "high"])
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -428,6 +459,6 @@ def remove_repeats(docs: DataFrame, method: Method, apply, schema: str, key: str
     keys = scan.mapInArrow(send_keys, "part int, sheet long, deltas binary, counts binary, multi binary")
     answer = "sheet long, kind int, part int, answer binary"
     known = keys.groupBy("part").applyInPandas(judge_keys, answer)
-    strings = texts.groupBy("sheet").cogroup(known.groupBy("sheet")).applyInPandas(send_strings, "part int, sheet long, lengths binary, strings binary, low binary, high binary")
+    strings = texts.groupBy("sheet").cogroup(known.groupBy("sheet")).applyInPandas(send_strings, "part int, sheet long, lengths binary, strings binary, keys binary, low binary, high binary")
     found = strings.groupBy("part").applyInPandas(lambda pdf: runs_of(pdf, method), answer)
     return texts.groupBy("sheet").cogroup(known.unionByName(found).groupBy("sheet")).applyInPandas(finish, schema)

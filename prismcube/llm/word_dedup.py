@@ -24,6 +24,11 @@ def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
 
 
+def joined(split: list[list[bytes]]) -> tuple[bytes, np.ndarray]:
+    words = [w for s in split for w in s]
+    return b" ".join(words) + b" ", np.cumsum(np.fromiter((0, *(len(w) + 1 for w in words)), np.int64, len(words) + 1))
+
+
 class Words:
     """Symbols are words, runs of anything but ASCII white space; each is followed by one space in the data."""
 
@@ -37,8 +42,13 @@ class Words:
         coded = words.dictionary_encode()
         own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
         hashes = own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
-        lengths = np.diff(np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)) if len(words) else np.zeros(0, np.int64)
-        return Symbols(hashes, ends, b" ".join([w for s in split for w in s]) + b" ", np.concatenate([[0], np.cumsum(lengths + 1)]))
+        return Symbols(hashes, ends, *joined(split))
+
+    def cuts(self, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+        return joined([t.split() for t in texts])
+
+    def size(self, string: bytes) -> int:
+        return string.count(b" ")
 
     def classes(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         split = [s.split() for s in strings]
