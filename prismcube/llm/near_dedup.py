@@ -167,3 +167,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(known, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without those that near_duplicates() doesn't keep."""
+    gone = stored(near_duplicates(docs, percent, key, text).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{key}`").cast("long") == F.col("gone"), "left_anti")
