@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismcube.llm.common import partitions, stored
-from prismcube.llm.components import components
+from prismcube.llm.components import components, roots
 
 #: Vectors in a tile; coordinates compared at a time; leading coordinates in a tile's box; vectors that give the basis.
 TILE, BLOCK, BOX, SAMPLE = 512, 16, 8, 4096
@@ -67,19 +67,6 @@ def links(a: np.ndarray, b: np.ndarray, basis: np.ndarray, least: float) -> tupl
     return i[cosine >= least], j[cosine >= least]
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n vertices the smallest one that the edges (i, j) reach."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, i, root[j])
-        np.minimum.at(new, j, root[i])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; see the module's text."""
     spark = vectors.sparkSession
