@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismcube.llm import bpe, embed_dedup, licenses, media, near_dedup, packing, suffix_dedup, toxicity, urls, word_dedup
 from prismcube.llm.common import importable
+from prismcube.llm.sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +72,5 @@ QUERIES = {
     "op9_embed_dedup": op9_embed_dedup,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {"op4_licenses": licenses.oracle()}
+
+__all__ = ["QUERIES", "SQL"]
