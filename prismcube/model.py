@@ -49,8 +49,12 @@ def _rollups(*names_and_dims: tuple[str, str]) -> tuple[RollupDef, ...]:
     return tuple(RollupDef(n, tuple(d.split())) for n, d in names_and_dims)
 
 
+KINDS = {"long": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "string": T.StringType, "timestamp_ntz": T.TimestampNTZType}
+
+
 def _fields(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Without a session, so that models can be declared at import."""
+    return T.StructType([T.StructField(name, KINDS[kind]()) for name, kind in map(str.split, text.split(","))])
 
 
 #: Advertising events: serves, impressions, clicks and purchases.
