@@ -248,7 +248,7 @@ def fit(x: np.ndarray, y: np.ndarray, prevalence: float) -> tuple[np.ndarray, np
     prior = np.array([0.0, 0.5, 0.3, 0.5, 0.05, 0.5, 0.3, 0.3])
     beta = prior.copy()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-z @ beta))
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         grad = z.T @ (y - p) - (beta - prior)
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(len(beta)), grad)
         beta = beta + step
@@ -294,7 +294,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(got, pa.list_(pa.string()))], names=["toxic", "entries"])
 
     found = stored(sample.mapInArrow(incidence, "toxic int, entries array<string>"), "incidence")
-    n1, n0 = (r[0] for r in [found.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()[i : i + 1] for i in (0, 1)])
+    n1, n0 = (n or 0 for n in found.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    if not n1 or not n0:
+        return total[1] / (total[0] + total[1])
     c1, c0 = F.sum("toxic"), F.sum(1 - F.col("toxic"))
     each = found.select("toxic", F.explode("entries").alias("entry")).groupBy("entry").agg(c1.alias("c1"), c0.alias("c0"))
     odds = F.log((F.col("c1") + 0.1) / n1) - F.log((F.col("c0") + 0.5) / n0)

