@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismcube.llm.common import documents, pack, pack_planes, partitions, spread, unpack, unpack_planes
+from prismcube.llm.common import documents, give_back, pack, pack_planes, partitions, spread, tidy, unpack, unpack_planes
 
 #: Text bytes in a block: bounds a task's memory.
 BLOCK_BYTES = 32 << 20
@@ -164,12 +164,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 text = token_bytes.take(pa.array(ids))
                 whole = text.buffers()[2] if len(ids) else None
                 out.append((doc, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(memoryview(whole)[: len(whole)] if whole else b"").hexdigest()))
+        give_back()
         frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         return frame.astype({"doc_id": "Int64"})
 
-    words = scan.mapInArrow(requests, "part int, block long, lengths binary, words binary")
-    ids = words.repartition(partitions(spark), "part").mapInArrow(encode, "block long, part int, counts binary, ids binary")
-    codes = scan.mapInArrow(positions, "block long, doc_ids array<long>, n_words binary, codes binary")
+    words = scan.mapInArrow(lambda b: tidy(requests(b)), "part int, block long, lengths binary, words binary")
+    ids = words.repartition(partitions(spark), "part").mapInArrow(lambda b: tidy(encode(b)), "block long, part int, counts binary, ids binary")
+    codes = scan.mapInArrow(lambda b: tidy(positions(b)), "block long, doc_ids array<long>, n_words binary, codes binary")
     return (
         codes.groupBy("block")
         .cogroup(ids.groupBy("block"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismcube.llm.common import documents, stored
+from prismcube.llm.common import documents, stored, tidy
 from prismcube.llm.components import components
 from prismcube.llm.tiles import Tile, forests, spanning
 from prismcube.llm.windows import gram_hashes
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
             s = list(sketches(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.registers.tobytes() + x.shingles.tobytes() for x in s], pa.binary())], names=["rep", "cluster", "payload"])
 
-    sketched = stored(rows.mapInArrow(sketch, "doc_id long, n long, digest binary, registers binary"), "sketches")
+    sketched = stored(rows.mapInArrow(lambda b: tidy(sketch(b)), "doc_id long, n long, digest binary, registers binary"), "sketches")
     reps = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     buckets = reps.select("rep", band.alias("band", "bucket")).select("rep", "bucket")
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     ties = buckets.join(low, "bucket").where("rep > low").select(F.col("low").alias("u"), F.col("rep").alias("v")).distinct()
     clusters = stored(components(ties).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
     wanted = F.broadcast(clusters) if clusters.count() <= BROADCAST_IDS else clusters
-    sets = rows.join(wanted, rows.doc_id == clusters.rep).select("rep", "cluster", "text").mapInArrow(with_sets, "rep long, cluster long, payload binary")
+    sets = rows.join(wanted, rows.doc_id == clusters.rep).select("rep", "cluster", "text").mapInArrow(lambda b: tidy(with_sets(b)), "rep long, cluster long, payload binary")
     reach = components(forests(sets, lambda a, b: forest(a, b, percent))).withColumnRenamed("id", "rep")
     known = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")).join(reach, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(known, "digest", "left")
@@ -173,4 +173,5 @@ def without_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id",
     """The rows of docs, all columns, without those that near_duplicates() doesn't keep."""
     gone = stored(near_duplicates(docs, percent, key, text).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{key}`").cast("long") == F.col("gone"), "left_anti")
+    ids = (F.broadcast(gone) if few else gone).alias("ids")
+    return docs.alias("docs").join(ids, F.col(f"docs.`{key}`").cast("long") == F.col("ids.gone"), "left_anti")

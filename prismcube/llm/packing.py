@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from prismcube.llm.common import documents, pack_planes, partitions, stored, unpack_planes
+from prismcube.llm.common import documents, pack_planes, partitions, stored, tidy, unpack_planes
 
 DIMS, BITS = 4, 10
 #: Buckets of the hashed document vector, and the factor that spreads its projections over the cells.
@@ -179,7 +179,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
         if out:
             yield batch_of(out)
 
-    rows = documents(docs).mapInArrow(tokenised, "key long, doc_id long, start long, doc_tokens long, ids binary")
+    rows = documents(docs).mapInArrow(lambda b: tidy(tokenised(b)), "key long, doc_id long, start long, doc_tokens long, ids binary")
     by_curve = ["key", "doc_id", "start"]
     ordered = stored(rows, "tokens").repartitionByRange(partitions(spark), *by_curve).sortWithinPartitions(*by_curve)
-    return ordered.mapInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ordered.mapInArrow(lambda b: tidy(packed(b)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismcube.llm.common import partitions, stored
+from prismcube.llm.common import partitions, stored, tidy
 
 #: Members and payload bytes in a tile, at most (a larger member is a tile of its own).
 MEMBERS, BYTES = 512, 4 << 20
@@ -83,10 +83,10 @@ def forests(items: DataFrame, link: Callable[[Tile, Tile | None], list[tuple[int
 
     by = ["cluster", "rep"]
     columns = ["reps", "clusters", "payloads"]
-    tile = stored(items.select("rep", "cluster", "payload").repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(cut, "tile long, reps array<long>, clusters array<long>, payloads array<binary>"), "tiles")
+    tile = stored(items.select("rep", "cluster", "payload").repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(lambda b: tidy(cut(b)), "tile long, reps array<long>, clusters array<long>, payloads array<binary>"), "tiles")
     span = tile.select("tile", F.explode(F.array_distinct("clusters")).alias("cluster"))
     span = span.join(span.groupBy("cluster").agg(F.count(F.lit(1)).alias("tiles")).where("tiles > 1"), "cluster")
     pair = span.alias("x").join(span.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.tile") < F.col("y.tile"))).select(F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
     side = lambda name: tile.select(F.col("tile").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
     joined = pair.join(side("a"), "a").join(side("b"), "b").select(*(f"{x}_{c}" for x in "ab" for c in columns))
-    return tile.select(*columns).mapInArrow(edges, "u long, v long").union(joined.mapInArrow(edges, "u long, v long"))
+    return tile.select(*columns).mapInArrow(lambda b: tidy(edges(b)), "u long, v long").union(joined.mapInArrow(lambda b: tidy(edges(b)), "u long, v long"))

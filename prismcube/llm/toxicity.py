@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismcube.llm.common import documents, stored
+from prismcube.llm.common import documents, stored, tidy
 
 #: Labelled documents that training uses at most, entries of the lexicon at most.
 POSITIVE, NEGATIVE, ENTRIES = 1500, 4500, 96
@@ -395,7 +395,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str =
                 for part, texts in pieces(b, 1):
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(probabilities(shared.value, texts), pa.float64())], names=["doc_id", "score"])
 
-        scored = rows.mapInArrow(scores, "doc_id long, score double")
+        scored = rows.mapInArrow(lambda b: tidy(scores(b)), "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -412,4 +412,4 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str =
             for part, texts in pieces(b, place):
                 yield part.filter(pa.array(probabilities(shared.value, texts) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda b: tidy(keep(b)), docs.schema)

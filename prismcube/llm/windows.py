@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from prismcube.llm.common import pack, pack_planes, partitions, spread, unpack, unpack_planes
+from prismcube.llm.common import give_back, pack, pack_planes, partitions, spread, tidy, unpack, unpack_planes
 
 #: Text bytes in a sheet, and in a piece of it that is hashed at a time: bound a task's memory.
-SHEET_BYTES, PIECE_BYTES = 16 << 20, 1 << 19
+SHEET_BYTES, PIECE_BYTES = 8 << 20, 1 << 18
 #: Parts for each shuffle partition.
 PARTS = 4
 #: Super-k-mers with one minimiser from which on it is hot.
@@ -446,6 +446,7 @@ def remove_repeats(docs: DataFrame, method: Method, apply, schema: str, key: str
                 a, b = int(cut[p]), int(cut[p + 1])
                 own = c.strings[a:b].to_pylist()
                 out.append((p, row.sheet, pack_planes(np.array([len(x) for x in own], np.uint32)), pack(b"".join(own)), pack_planes(np.diff(c.key[a:b], prepend=np.uint64(0))), pack_planes(c.low[a:b]), pack_planes(c.high[a:b])))
+        give_back()
         return pd.DataFrame(out, columns=["part", "sheet", "lengths", "strings", "keys", "low", "high"])
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -453,10 +454,11 @@ def remove_repeats(docs: DataFrame, method: Method, apply, schema: str, key: str
         for row in left.itertuples(index=False):
             s = Sheet.of(row)
             out += [apply(i, t, r, x) for i, t, r, x in zip(s.ids, s.texts, s.rest, removed(s, right, method, parts))]
+        give_back()
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    texts = scan.mapInArrow(send_texts, Sheet.schema)
-    keys = scan.mapInArrow(send_keys, "part int, sheet long, deltas binary, counts binary, multi binary")
+    texts = scan.mapInArrow(lambda b: tidy(send_texts(b)), Sheet.schema)
+    keys = scan.mapInArrow(lambda b: tidy(send_keys(b)), "part int, sheet long, deltas binary, counts binary, multi binary")
     answer = "sheet long, kind int, part int, answer binary"
     known = keys.groupBy("part").applyInPandas(judge_keys, answer)
     strings = texts.groupBy("sheet").cogroup(known.groupBy("sheet")).applyInPandas(send_strings, "part int, sheet long, lengths binary, strings binary, keys binary, low binary, high binary")
