@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -64,9 +65,48 @@ class Block:
         return part[order], [words[i] for i in order], new
 
 
+#: Texts of code points below this are split by the standard library's matcher, others by the full one.
+PLAIN = 0x250
+
+
+class Splitter:
+    """Pre-tokens of texts. For plain texts the pattern's letter, number and space classes are spelled out as ranges."""
+
+    def __init__(self, pattern: str) -> None:
+        self.whole = regex.compile(pattern).findall
+        own = {kind: self.ranges(kind) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+        out, at, inside = [], 0, False
+        while at < len(pattern):
+            kind = next((k for k in (*own, r"\S") if pattern.startswith(k, at)), pattern[at])
+            if kind == r"\S":
+                out.append(f"[^{own[chr(92) + 's']}]" if not inside else kind)
+            elif kind in own:
+                out.append(own[kind] if inside else f"[{own[kind]}]")
+            else:
+                inside = kind == "[" or inside and kind != "]"
+                out.append(kind)
+            at += len(kind)
+        plain = "".join(out)
+        self.plain = None if "\\p" in plain or r"\S" in plain else re.compile(plain).findall
+        self.other = re.compile(f"[{chr(PLAIN)}-\U0010ffff]").search
+
+    @staticmethod
+    def ranges(kind: str) -> str:
+        found: list[list[int]] = []
+        for c in map(ord, regex.findall(kind, "".join(map(chr, range(PLAIN))))):
+            if found and found[-1][1] == c - 1:
+                found[-1][1] = c
+            else:
+                found.append([c, c])
+        return "".join(f"\\x{a:02x}-\\x{b:02x}" if b < 256 else f"\\u{a:04x}-\\u{b:04x}" for a, b in found)
+
+    def __call__(self, text: str) -> list[str]:
+        return self.whole(text) if self.plain is None or self.other(text) else self.plain(text)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], pattern: str, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of a partition's rows (doc_id, text); their cut depends on the rows alone, not on the batches."""
-    split = regex.compile(pattern).findall
+    split = Splitter(pattern)
     first = TaskContext.get().partitionId() << 24
     block, ids, tokens, held = Block(first), [], [], 0
     for batch in batches:

@@ -32,6 +32,20 @@ def test_encoding_equals_the_library_and_decodes_back(docs):
     assert by_row(map(tuple, bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).collect())) == by_row(expected)
 
 
+def test_splitter_equals_the_full_matcher():
+    import random
+
+    import regex
+
+    split, whole = bpe.Splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    rng = random.Random(0)
+    points = [*range(bpe.PLAIN), *" '\n\t"  * 9, *"'s", *"'ll", *"aé1½ "]
+    for n in range(3000):
+        text = "".join(c if isinstance(c, str) else chr(c) for c in rng.choices(points, k=30)) + ("日 本" if n % 7 == 0 else "")
+        assert split(text) == whole(text)
+    assert split.plain is not None and bpe.Splitter(r"\p{Lu}+|.").plain is None
+
+
 def test_no_documents(empty):
     assert bpe.encode_decode(empty, RANKS, public_tokenizers.PATTERN).collect() == []
     assert packing.pack_documents(empty, JSON, public_tokenizers.PATTERN).collect() == []
