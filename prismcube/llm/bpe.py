@@ -6,7 +6,8 @@ hash; there each is encoded once, whatever the number of blocks that hold it. Th
 the word numbers put them in place. A word that fills a third of the corpus is one entry per block.
 
 Blocks are computed twice, once for the words and once for the positions, so the input must be a scan (a table read
-from storage), whose partitions are the same each time.
+from storage), whose partitions are the same each time; a digest of each block goes with its messages, and the job
+fails if they differ.
 
 Defined results: null text counts as empty; an empty text has 0 tokens and the digest of no bytes; repeated rows give
 repeated results; a null doc_id is kept as null; an empty table gives an empty result; other columns are ignored.
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismcube.llm.common import documents, give_back, pack, pack_planes, partitions, spread, tidy, unpack, unpack_planes
+from prismcube.llm.common import check_digests, digest, documents, give_back, pack, pack_planes, partitions, spread, tidy, unpack, unpack_planes
 
 #: Text bytes in a block: bounds a task's memory.
 BLOCK_BYTES = 32 << 20
@@ -48,6 +49,10 @@ class Block:
         self.codes: list[np.ndarray] = []
         self.words: dict[str, int] = {}
 
+    def digest(self) -> int:
+        """Tells whether a block was cut the same way again."""
+        return digest([repr(self.ids).encode(), *(c.tobytes() for c in self.codes), "\0".join(self.words).encode()])
+
     def add(self, ids: list, tokens: list[list[str]]) -> None:
         flat = pa.array([w for t in tokens for w in t], pa.large_string()).dictionary_encode()
         own = np.array([self.words.setdefault(w, len(self.words)) for w in flat.dictionary.to_pylist()], np.int32)
@@ -149,10 +154,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 [
                     pa.array([p for p, _ in rows], pa.int32()),
                     pa.array([b.number] * len(rows), pa.int64()),
+                    pa.array([b.digest()] * len(rows), pa.int64()),
                     pa.array([pack(np.array([len(w) for w in ws], np.uint32)) for _, ws in rows], pa.binary()),
                     pa.array([pack(b"".join(ws)) for _, ws in rows], pa.binary()),
                 ],
-                names=["part", "block", "lengths", "words"],
+                names=["part", "block", "digest", "lengths", "words"],
             )
 
     def encode(batches):
@@ -162,7 +168,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         known: dict[bytes, bytes] = {}  # the distinct words of this partition
         for batch in batches:
             out = []
-            for lengths, words in zip(batch.column(2), batch.column(3), strict=True):
+            for lengths, words in zip(batch.column(3), batch.column(4), strict=True):
                 ends = np.cumsum(unpack(lengths.as_py(), np.uint32)).tolist()
                 raw, start, ids = unpack(words.as_py()), 0, []
                 for end in ends:
@@ -174,8 +180,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 counts = np.array([len(x) // 4 for x in ids], np.uint32)
                 out.append((pack_planes(counts), pack_planes(np.frombuffer(b"".join(ids), np.uint32))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(0), pa.array([c for c, _ in out], pa.binary()), pa.array([i for _, i in out], pa.binary())],
-                names=["block", "part", "counts", "ids"],
+                [batch.column(1), batch.column(2), batch.column(0), pa.array([c for c, _ in out], pa.binary()), pa.array([i for _, i in out], pa.binary())],
+                names=["block", "digest", "part", "counts", "ids"],
             )
 
     def positions(batches):
@@ -183,8 +189,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             _, _, new = b.by_part(parts)
             codes = new[np.concatenate(b.codes)] if len(new) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b.number], pa.int64()), pa.array([b.ids], pa.list_(pa.int64())), pa.array([pack(np.array(b.counts, np.uint32))], pa.binary()), pa.array([pack_planes(codes)], pa.binary())],
-                names=["block", "doc_ids", "n_words", "codes"],
+                [pa.array([b.number], pa.int64()), pa.array([b.digest()], pa.int64()), pa.array([b.ids], pa.list_(pa.int64())), pa.array([pack(np.array(b.counts, np.uint32))], pa.binary()), pa.array([pack_planes(codes)], pa.binary())],
+                names=["block", "digest", "doc_ids", "n_words", "codes"],
             )
 
     def assemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -195,6 +201,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         starts = np.cumsum(counts) - counts
         out = []
         for row in left.itertuples(index=False):
+            check_digests(row.digest, right["digest"])
             codes, ends = unpack_planes(row.codes, np.int32), np.cumsum(unpack(row.n_words, np.uint32).astype(np.int64))
             at = 0
             for doc, end in zip(row.doc_ids, ends.tolist(), strict=True):
@@ -208,9 +215,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         return frame.astype({"doc_id": "Int64"})
 
-    words = scan.mapInArrow(lambda b: tidy(requests(b)), "part int, block long, lengths binary, words binary")
-    ids = words.repartition(partitions(spark), "part").mapInArrow(lambda b: tidy(encode(b)), "block long, part int, counts binary, ids binary")
-    codes = scan.mapInArrow(lambda b: tidy(positions(b)), "block long, doc_ids array<long>, n_words binary, codes binary")
+    words = scan.mapInArrow(lambda b: tidy(requests(b)), "part int, block long, digest long, lengths binary, words binary")
+    ids = words.repartition(partitions(spark), "part").mapInArrow(lambda b: tidy(encode(b)), "block long, digest long, part int, counts binary, ids binary")
+    codes = scan.mapInArrow(lambda b: tidy(positions(b)), "block long, digest long, doc_ids array<long>, n_words binary, codes binary")
     return (
         codes.groupBy("block")
         .cogroup(ids.groupBy("block"))

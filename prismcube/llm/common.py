@@ -7,11 +7,12 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,19 @@ def _quietly_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def digest(parts: Iterable[bytes]) -> int:
+    """63 bits of the parts in order."""
+    h = xxhash.xxh3_64()
+    for p in parts:
+        h.update(p)
+    return h.intdigest() >> 1
+
+
+def check_digests(own: int, others) -> None:
+    if any(int(x) != own for x in others):
+        raise RuntimeError("a block of the input was not the same when it was read again; write the input to storage first")
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a worker lives on after a task, beside the executor's other processes."""
     pa.default_memory_pool().release_unused()

@@ -14,8 +14,10 @@ REACH = "reach as (select i, j as r from link union select reach.i, link.j from
 
 REPEATED_BYTES = """
 with doc as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-byte as (select doc_id, i, substring(h, 2 * i - 1, 2) as b, case when 2 * i + 98 <= length(h) then substring(h, 2 * i - 1, 100) end as s
-         from (select doc_id, h, unnest(range(1, length(h) // 2 + 1)) as i from doc)),
+chunk as (select doc_id, n, c, substring(h, 1024 * c + 1, 1024 + 98) as part
+          from (select doc_id, h, length(h) // 2 as n, unnest(range(0, (length(h) // 2 + 511) // 512)) as c from doc)),
+byte as (select doc_id, 512 * c + o as i, substring(part, 2 * o + 1, 2) as b, case when 512 * c + o + 50 <= n then substring(part, 2 * o + 1, 100) end as s
+         from (select doc_id, n, c, part, unnest(range(0, least(512, n - 512 * c))) as o from chunk)),
 first as (select s, min(doc_id) as d from byte where s is not null group by s),
 hit as (select doc_id, i, b, coalesce(d < doc_id, false) as repeated from byte left join first using (s)),
 gone as (select doc_id, i, b, bool_or(repeated) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from hit),

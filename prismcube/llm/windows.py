@@ -15,7 +15,8 @@ The common frame of the two substring operators; a Method says what a symbol is
    minimiser, so a string that is the only one under its own needs no classes.
 
 Hashes only choose parts and candidates; equality is decided on the symbols themselves. Sheets are computed more than
-once, so the input must be a scan (a table read from storage), whose partitions are the same each time.
+once, so the input must be a scan (a table read from storage), whose partitions are the same each time; a digest of
+each sheet goes with its messages, and the job fails if they differ.
 
 Defined results: null text counts as empty; texts of fewer than k symbols keep everything; a null doc_id counts as
 larger than all others; rows with the same doc_id don't remove each other's windows; an empty table gives an empty
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from prismcube.llm.common import give_back, pack, pack_planes, partitions, spread, tidy, unpack, unpack_planes
+from prismcube.llm.common import check_digests, digest, give_back, pack, pack_planes, partitions, spread, tidy, unpack, unpack_planes
 
 #: Text bytes in a sheet, and in a piece of it that is hashed at a time: bound a task's memory.
 SHEET_BYTES, PIECE_BYTES = 8 << 20, 1 << 18
@@ -158,7 +159,7 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 class Sheet:
     """A sheet as it travels: ids, texts' lengths and bytes, the other columns."""
 
-    schema = "sheet long, doc_ids array<long>, lengths binary, rest array<string>, texts binary"
+    schema = "sheet long, digest long, doc_ids array<long>, lengths binary, rest array<string>, texts binary"
 
     def __init__(self, number: int) -> None:
         self.number, self.bytes = number, 0
@@ -170,14 +171,19 @@ class Sheet:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([self.number], pa.int64()),
+                pa.array([self.digest()], pa.int64()),
                 pa.array([self.ids], pa.list_(pa.int64())),
                 pa.array([pack(np.array([len(t) for t in self.texts], np.uint32))], pa.binary()),
                 pa.array([self.rest], pa.list_(pa.string())),
                 pa.array([pack(b"".join(self.texts))], pa.binary()),
             ],
-            names=["sheet", "doc_ids", "lengths", "rest", "texts"],
+            names=["sheet", "digest", "doc_ids", "lengths", "rest", "texts"],
         )
 
+    def digest(self) -> int:
+        """Of ids and texts: tells whether a sheet was cut the same way again."""
+        return digest([repr(self.ids).encode(), *self.texts])
+
     @classmethod
     def of(cls, row) -> Sheet:
         s = cls(row.sheet)
@@ -258,7 +264,7 @@ def judge_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     hot = np.bincount(back, counts, len(own)) >= HOT
     bits = (several[back] + 2 * (several & hot)[back]).astype(np.uint8)
     cuts = np.cumsum([len(x) for x in sheet])
-    return pd.DataFrame({"sheet": pdf["sheet"], "kind": 0, "part": pdf["part"], "answer": [pack(x) for x in np.split(bits, cuts[:-1])]})
+    return pd.DataFrame({"sheet": pdf["sheet"], "digest": pdf["digest"], "kind": 0, "part": pdf["part"], "answer": [pack(x) for x in np.split(bits, cuts[:-1])]})
 
 
 class Candidates(NamedTuple):
@@ -361,7 +367,7 @@ def runs_of(pdf: pd.DataFrame, method: Method) -> pd.DataFrame:
         ends = np.flatnonzero(hit & np.append(~hit[1:] | new[1:], True))
         offset = np.arange(len(idx)) - np.repeat(np.cumsum(windows[own]) - windows[own], windows[own])
         out.append(pack(b"".join(pack_with_size(x) for x in (row[begin].astype(np.uint32), offset[begin].astype(np.uint32), offset[ends].astype(np.uint32) + 1, least_of[begin].astype(np.int64)))))
-    return pd.DataFrame({"sheet": pdf["sheet"], "kind": 1, "part": pdf["part"], "answer": out})
+    return pd.DataFrame({"sheet": pdf["sheet"], "digest": pdf["digest"], "kind": 1, "part": pdf["part"], "answer": out})
 
 
 def pack_with_size(x: np.ndarray) -> bytes:
@@ -430,37 +436,40 @@ def remove_repeats(docs: DataFrame, method: Method, apply, schema: str, key: str
                 [
                     pa.array(own, pa.int32()),
                     pa.array([s.number] * len(own), pa.int64()),
+                    pa.array([s.digest()] * len(own), pa.int64()),
                     pa.array([pack_planes(np.diff(x, prepend=np.uint64(0))) for x in sliced(keys)], pa.binary()),
                     pa.array([pack_planes(x.astype(np.uint32)) for x in sliced(counts)], pa.binary()),
                     pa.array([pack_planes(x.astype(np.uint8)) for x in sliced(multi)], pa.binary()),
                 ],
-                names=["part", "sheet", "deltas", "counts", "multi"],
+                names=["part", "sheet", "digest", "deltas", "counts", "multi"],
             )
 
     def send_strings(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples(index=False):
+            check_digests(row.digest, right["digest"])
             c = candidates(Sheet.of(row), right, method, parts)
             cut = np.searchsorted(c.part, np.arange(parts + 1))
             for p in np.unique(c.part).tolist():
                 a, b = int(cut[p]), int(cut[p + 1])
                 own = c.strings[a:b].to_pylist()
-                out.append((p, row.sheet, pack_planes(np.array([len(x) for x in own], np.uint32)), pack(b"".join(own)), pack_planes(np.diff(c.key[a:b], prepend=np.uint64(0))), pack_planes(c.low[a:b]), pack_planes(c.high[a:b])))
+                out.append((p, row.sheet, row.digest, pack_planes(np.array([len(x) for x in own], np.uint32)), pack(b"".join(own)), pack_planes(np.diff(c.key[a:b], prepend=np.uint64(0))), pack_planes(c.low[a:b]), pack_planes(c.high[a:b])))
         give_back()
-        return pd.DataFrame(out, columns=["part", "sheet", "lengths", "strings", "keys", "low", "high"])
+        return pd.DataFrame(out, columns=["part", "sheet", "digest", "lengths", "strings", "keys", "low", "high"])
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples(index=False):
+            check_digests(row.digest, right["digest"])
             s = Sheet.of(row)
             out += [apply(i, t, r, x) for i, t, r, x in zip(s.ids, s.texts, s.rest, removed(s, right, method, parts))]
         give_back()
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     texts = scan.mapInArrow(lambda b: tidy(send_texts(b)), Sheet.schema)
-    keys = scan.mapInArrow(lambda b: tidy(send_keys(b)), "part int, sheet long, deltas binary, counts binary, multi binary")
-    answer = "sheet long, kind int, part int, answer binary"
+    keys = scan.mapInArrow(lambda b: tidy(send_keys(b)), "part int, sheet long, digest long, deltas binary, counts binary, multi binary")
+    answer = "sheet long, digest long, kind int, part int, answer binary"
     known = keys.groupBy("part").applyInPandas(judge_keys, answer)
-    strings = texts.groupBy("sheet").cogroup(known.groupBy("sheet")).applyInPandas(send_strings, "part int, sheet long, lengths binary, strings binary, keys binary, low binary, high binary")
+    strings = texts.groupBy("sheet").cogroup(known.groupBy("sheet")).applyInPandas(send_strings, "part int, sheet long, digest long, lengths binary, strings binary, keys binary, low binary, high binary")
     found = strings.groupBy("part").applyInPandas(lambda pdf: runs_of(pdf, method), answer)
     return texts.groupBy("sheet").cogroup(known.unionByName(found).groupBy("sheet")).applyInPandas(finish, schema)

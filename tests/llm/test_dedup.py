@@ -6,7 +6,7 @@ from itertools import pairwise
 import numpy as np
 import pytest
 
-from prismcube.llm import components, embed_dedup, near_dedup, suffix_dedup, windows, word_dedup
+from prismcube.llm import common, components, embed_dedup, near_dedup, suffix_dedup, windows, word_dedup
 
 LAST = 2**62
 
@@ -69,6 +69,12 @@ def test_small_sheets_give_the_same(docs, monkeypatch):
     assert by_row(map(tuple, word_dedup.repeated_words_digest(docs, 20).collect())) == expected_words(docs, 20)
 
 
+def test_a_changed_sheet_is_noticed():
+    common.check_digests(5, [5, 5])
+    with pytest.raises(RuntimeError):
+        common.check_digests(5, [5, 6])
+
+
 def test_columns_sort_suffixes_and_count_common_prefixes():
     rng = np.random.default_rng(0)
     strings = [bytes(rng.integers(97, 100, rng.integers(0, 40)).astype(np.uint8)) for _ in range(60)]
