@@ -32,8 +32,8 @@ class Outcome:
 class Engine:
     """Answers queries from a warehouse, or from frames given directly (``frames``)."""
 
-    def __init__(self, spark: SparkSession, model: CubeModel = AD_EVENTS, path: str | None = None, count_star: str = "COUNT(*)") -> None:
-        self.spark, self.model, self.count_star = spark, model, count_star
+    def __init__(self, spark: SparkSession, model: CubeModel = AD_EVENTS, path: str | None = None, count_star: str = "COUNT(*)", null_text: bool = False) -> None:
+        self.spark, self.model, self.count_star, self.null_text = spark, model, count_star, null_text
         self.warehouse = Warehouse(spark, path, model) if path else None
         self._frames: dict[str, DataFrame] = {}
         self._sizes: dict[str, int] = {}
@@ -114,14 +114,17 @@ class Engine:
     def sizes(self) -> dict[str, int]:
         return {**({n: e.rows for n, e in self.warehouse.manifest.rollups.items()} if self.warehouse else {}), **self._sizes}
 
+    def spec(self, query: dict | str | QuerySpec) -> QuerySpec:
+        return query if isinstance(query, QuerySpec) else parse(query, self.model, self.null_text)
+
     def route(self, query: dict | str | QuerySpec) -> Route:
         """The table that answers a query, what it derives, and why the others don't."""
-        spec = query if isinstance(query, QuerySpec) else parse(query, self.model)
+        spec = self.spec(query)
         return choose(spec, self.sizes, self.definitions, self.model)
 
     def query(self, query: dict | str | QuerySpec, route: str = "auto") -> DataFrame:
         """The answer, as a plan. route: auto, detail, rollup (no detail), or a rollup's name; the answer is the same."""
-        spec = query if isinstance(query, QuerySpec) else parse(query, self.model)
+        spec = self.spec(query)
         table = DETAIL if route == DETAIL else self.route(spec).table if route in ("auto", "rollup") else route
         if table == DETAIL:
             if route == "rollup":
@@ -154,7 +157,7 @@ class Engine:
         for name, q in queries:
             began, table = time.perf_counter(), None
             try:
-                spec = parse(q, self.model)
+                spec = self.spec(q)
                 table = self.route(spec).table if route == "auto" else route
                 rows = sinks.write_csv(self.query(spec, route), f"{out}/{name}{suffix}")
                 done.append(Outcome(name, table, rows, time.perf_counter() - began))

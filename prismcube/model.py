@@ -87,6 +87,10 @@ AD_EVENTS = CubeModel(
     ),
 )
 
+#: Presets of rollup names for Engine.prepare: by one dimension and type, and by several.
+CORE = tuple(r.name for r in AD_EVENTS.rollups if len(r.dims) == 2)
+COMBINED = ("day_country_type", "day_advertiser_type", "hour_country_type")
+
 #: Order lines: a second model, to keep the engine general.
 ORDER_LINES = CubeModel(
     table="lineitem",

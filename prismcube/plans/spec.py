@@ -83,8 +83,8 @@ class QuerySpec:
         return set(self.group_by) | {c.column for c in self.where}
 
 
-def parse(query: dict | str, model: CubeModel) -> QuerySpec:
-    """Reads and checks a query document."""
+def parse(query: dict | str, model: CubeModel, null_text: bool = False) -> QuerySpec:
+    """Reads and checks a query document. null_text: the value 'NULL' of eq and neq means null, too."""
     if isinstance(query, str):
         try:
             query = json.loads(query)
@@ -101,7 +101,7 @@ def parse(query: dict | str, model: CubeModel) -> QuerySpec:
     if not select:
         raise QueryError("select is missing or empty")
     group_by = tuple(dict.fromkeys(_column(c, model) for c in _list(query, "group_by")))
-    where = tuple(_condition(c, model) for c in _list(query, "where"))
+    where = tuple(_condition(c, model, null_text) for c in _list(query, "where"))
     order_by = tuple(_order_key(k, model) for k in _list(query, "order_by"))
     limit = query.get("limit")
     if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 0):
@@ -160,11 +160,13 @@ def _order_key(key: Any, model: CubeModel) -> OrderKey:
     return OrderKey(_aggregate(*found.groups(), model) if found else _column(name, model), way == "desc")
 
 
-def _condition(cond: Any, model: CubeModel) -> Condition:
+def _condition(cond: Any, model: CubeModel, null_text: bool = False) -> Condition:
     if not isinstance(cond, dict) or not {"col", "op"} <= set(cond):
         raise QueryError(f"a condition is an object with col, op and val, not {cond!r}")
     column, op, value = _column(cond["col"], model), str(cond["op"]).lower(), cond.get("val")
     op, kind = ALIASES.get(op, op), model.columns[column]
+    if null_text and value == "NULL" and op in ("eq", "neq"):
+        value = None
     if op == "in":
         values = value if isinstance(value, list | tuple) else [value]
         if any(v is None for v in values):

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from prismcube.engine import Engine
 from prismcube.errors import QueryError, WarehouseError
 from prismcube.model import AD_EVENTS as M
-from prismcube.model import RollupDef
+from prismcube.model import COMBINED, CORE, RollupDef
 from prismcube.operators import profile, rollups
 from prismcube.plans.router import DETAIL
 from prismcube.plans.spec import parse
@@ -115,6 +115,18 @@ def test_count_star_name_is_an_option(spark, events):
     assert e.query({"select": ["type", {"COUNT": "*"}], "group_by": ["type"]}).columns == ["type", "count_star()"]
 
 
+def test_the_text_null_is_text_unless_asked(spark, events):
+    query = {"select": [{"COUNT": "*"}], "where": [{"col": "country", "op": "eq", "val": "NULL"}]}
+    for null_text, n in ((False, 0), (True, 2)):
+        e = Engine(spark, M, null_text=null_text)
+        e._events = events
+        assert e.query(query).first()[0] == n
+
+
+def test_presets_name_rollups():
+    assert len(CORE) == 7 and {M.rollup(n).name for n in (*CORE, *COMBINED)} == {*CORE, *COMBINED}
+
+
 def test_routes_to_the_smallest_covering_rollup(engine):
     route = lambda **q: engine.route({"select": [{"SUM": "bid_price"}], **q})
     assert route(where=[{"col": "type", "op": "eq", "val": "click"}]).table in ("week_type", "country_type")
