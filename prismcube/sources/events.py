@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 from prismcube.errors import WarehouseError
 from prismcube.model import CubeModel
 
-#: Scan splits, for CSV parts of any size.
-SPLIT_BYTES = "256m"
-
 
 def files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     """Files of a folder in any storage that Spark reads, in order."""
@@ -25,22 +22,32 @@ def files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return sorted(p.toString() for p in found if fnmatch(p.getName(), pattern))
 
 
+def head(spark: SparkSession, path: str) -> str:
+    """A file's first line, without a job."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    io = spark._jvm.java.io
+    reader = io.BufferedReader(io.InputStreamReader(p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p), "UTF-8"))
+    try:
+        return (reader.readLine() or "").lstrip("\ufeff")
+    finally:
+        reader.close()
+
+
 def read_csv(spark: SparkSession, folder: str, model: CubeModel, pattern: str = "*.csv", strict: bool = False, infer: bool = False) -> DataFrame:
     """All CSV parts of a folder, columns matched by their headers.
 
     Empty fields are null, nothing else is ('NA' is text). A malformed field is null and the row's others are kept;
     with strict the read fails on it. Columns that a part lacks are null. infer takes types from the data instead.
+    Parts of any size are split by spark.sql.files.maxPartitionBytes.
     """
     paths = files(spark, folder, pattern)
     if not paths:
         raise WarehouseError(f"{folder} has no {pattern}")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", SPLIT_BYTES)
     if infer:
         return spark.read.option("header", True).option("inferSchema", True).csv(paths)
     by_header: dict[tuple[str, ...], list[str]] = {}
     for p in paths:
-        head = spark.read.text(p).limit(1).collect()
-        names = tuple(c.strip().strip('"') for c in head[0][0].split(",")) if head else ()
+        names = tuple(c.strip().strip('"') for c in head(spark, p).split(",") if c.strip())
         by_header.setdefault(names, []).append(p)
     parts = [_typed(spark.read.option("header", True).schema(_text(names)).csv(some), model, strict) for names, some in by_header.items() if names]
     if not parts:

@@ -101,8 +101,13 @@ class Warehouse:
         return self._open(definition.name, definition)
 
     def _open(self, name: str, definition: RollupDef) -> DataFrame:
-        self.spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-        found = self.spark.read.parquet(self.rollup_path(name))
+        inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
+        before = self.spark.conf.get(inference)
+        self.spark.conf.set(inference, "false")  # partition values are text as written, '007' too
+        try:
+            found = self.spark.read.parquet(self.rollup_path(name))
+        finally:
+            self.spark.conf.set(inference, before)
         kinds = self.model.columns
         return found.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in definition.dims else F.col(f"`{c}`") for c in [*definition.dims, *(c for c in found.columns if c not in definition.dims)]))
 
