@@ -4,6 +4,7 @@ Training takes a bounded sample of labelled documents (POSITIVE and NEGATIVE row
 held-out ones). It picks lexicon entries, whole words and stems (a beginning that at least one more letter follows),
 greedily by how many toxic documents each explains that no earlier one did. Words are compiled into one deterministic
 automaton: the trie of the words intersected with the Levenshtein automaton of distance 1; stems into a second one.
+The whole words behind a chosen stem that are as telling join the first, so an edit inside the stem is found, too.
 Both run over all distinct words of a block at once, a letter at a time. A misspelling that is itself an ordinary word
 (it occurs in several clean documents of the sample) is none. Each hit is then read in a window of words: quotation
 marks around it or a reporting verb near it make it quoted, else it is abuse. A logistic model of the counts gives the
@@ -19,6 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from prismcube.llm.common import documents, stored, tidy
 
-#: Labelled documents that training uses at most, entries of the lexicon at most.
+#: Labelled documents that training uses at most, entries picked for the lexicon at most (words behind stems are beside them).
 POSITIVE, NEGATIVE, ENTRIES = 1500, 4500, 96
 #: Candidate entries looked at closely, lengths of stems, least length of a word that may be misspelled.
 CANDIDATES, STEM, FUZZY = 3000, range(4, 11), 5
@@ -79,7 +82,8 @@ def compile_words(words: list[tuple[int, str]], most: int) -> Automaton:
     table = np.zeros(max(map(ord, letters), default=0) + 1, np.int32)
     for c, i in number.items():
         table[ord(c)] = i
-    fuzzy = {at for at, n in ends.items() if len(dict(words)[n]) >= FUZZY}
+    length = {n: len(w) for n, w in words}
+    fuzzy = {at for at, n in ends.items() if length[n] >= FUZZY}
     reach = [False] * len(nodes)  # nodes with a word below them that may be misspelled
     for at in range(len(nodes) - 1, -1, -1):
         reach[at] = at in fuzzy or any(reach[x] for x in nodes[at].values())
@@ -242,15 +246,18 @@ def features(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, prevalence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic weights around a prior, by Newton's method; the constant moved to the true share of toxic labels."""
+    """Logistic weights around a prior, by Newton's method with halved steps; the constant moved to the true share of toxic labels."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 0.05)
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     prior = np.array([0.0, 0.5, 0.3, 0.5, 0.05, 0.5, 0.3, 0.3])
     beta = prior.copy()
+    loss = lambda b: (np.logaddexp(0, z @ b) - y * (z @ b)).sum() + ((b - prior) ** 2).sum() / 2
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         grad = z.T @ (y - p) - (beta - prior)
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(len(beta)), grad)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() >= 1e-8:  # a full step may overshoot
+            step = step / 2
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
@@ -309,6 +316,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
         hit[i, [rank[e] for e in r.entries]] = True
     y = np.array([r.toxic for r in rows])
     entries, weights = greedy(hit, y, best, least)
+    stems = [e.text for e in entries if e.stem]
+    if stems:
+        under = reduce(or_, (F.col("entry").startswith(s) for s in stems))
+        behind = each.where(F.col("entry").endswith(" ") & under).select("entry", odds.alias("odds")).where("odds > 1.5").orderBy("entry").collect()  # of at most 60,000
+        behind = [(Entry(r.entry.strip(), False), r.odds) for r in behind if Entry(r.entry.strip(), False) not in entries]
+        entries, weights = [*entries, *(e for e, _ in behind)], np.array([*weights, *(w for _, w in behind)])
     model = Model.of(entries, weights)
 
     def near(batches):

@@ -244,6 +244,16 @@ def test_toxicity_learns_only_from_rows_not_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_finds_edits_inside_a_stem(spark):
+    docs, labels = labelled(spark)
+    plain = "kaban lodor mifel nugis pehum rajat " * 6
+    edited = ["gobian", "krobian", "gorobian", "lmpenx", "luumpenx"]
+    more = spark.createDataFrame([(7000 + i, f"{plain}{w} {plain}", 0) for i, w in enumerate(["kaban", *edited])], docs.schema)
+    assert any(e.stem and "grobian".startswith(e.text) for e in toxicity.trained(docs, labels, "doc_id", "text").entries)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs.union(more), labels).collect()}
+    assert [got[7000 + i] for i in range(6)] == [0, 1, 1, 1, 1, 1]
+
+
 def test_toxicity_without_labels_or_documents(spark):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
