@@ -76,23 +76,26 @@ def curve_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file; the strings of special tokens are ordinary text.
+    """Ids of a byte-level BPE vocabulary file; the strings of special tokens are ordinary text, or, with ``added``, give
+    the ids that the file has for them, as its library does by itself.
 
     Where the file's merges are in the order of their ids (as a rank file has them), the rank encoder runs, which gives
-    the same ids in a third of the time; else, and for a text that it refuses, the file's own library.
+    the same ids in a third of the time; else, for a text that it refuses, and with ``added`` for a text that holds an
+    added token's string, the file's own library.
     """
 
-    def __init__(self, data: str, pattern: str) -> None:
+    def __init__(self, data: str, pattern: str, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(data)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added
         model = json.loads(data)["model"]
         byte_of = {letter: b for b, letter in byte_letters().items()}
         special = {t["content"] for t in json.loads(data).get("added_tokens", ())}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         numbers = [model["vocab"].get("".join(m), -1) for m in merges]
+        self.added = sorted(special) if added else []
         self.ranked = None
         if numbers == sorted(set(numbers)) and len(numbers) + 256 == len(ranks):
             import tiktoken
@@ -100,7 +103,7 @@ class Encoder:
             self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.ranked is not None:
+        if self.ranked is not None and not any(x in text for x in self.added):
             try:
                 return np.array(self.ranked.encode_ordinary(text), np.uint32)
             except ValueError:  # its pattern matcher's limits
@@ -113,14 +116,14 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, length: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, length: int = 2048, added: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; see the module's text."""
     spark = docs.sparkSession
     with open(tokenizer_path) as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # one vocabulary file: its size is fixed
 
     def tokenised(batches):
-        encode = Encoder(vocabulary.value, pattern)
+        encode = Encoder(vocabulary.value, pattern, added)
         for b in batches:
             first, size, column = 0, 0, b.column(1)
             for i, t in enumerate(column):

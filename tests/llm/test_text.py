@@ -91,6 +91,19 @@ def test_encoder_falls_back_to_the_library(tokenizer):
     assert (fast == e(text)).all() and fast.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_registered_packing_has_the_ids_of_the_unmodified_library(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext| >", "plain don't", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(JSON)
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert ids[0] == [64, 220, 50256, 275, 1]
+    for got in (queries.op10_packing(spark, str(tmp_path)), corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path))):
+        rows = got.collect()
+        assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(x) for i, x in ids.items()}
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) for r in rows)
+
+
 def test_hilbert_numbers_are_a_curve():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = packing.hilbert(cells, 3)
