@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from prismcube.llm.common import stored
 
+#: Rounds at least, and rounds between looks at what is left.
 DAMPING, ROUNDS, EACH = 0.85, 12, 4
+#: What any host's score may lack at most when the rounds end.
+TOLERANCE = 1e-10
 THRESHOLD = (1 - DAMPING) / 2
 #: Scores are compared after rounding, so that the order of sums doesn't matter.
 DIGITS = 9
@@ -76,21 +79,30 @@ def host_edges(pages: DataFrame, html: str) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """host, trust, distrust after ROUNDS rounds. seeds: host, good, bad; edges: src, dst, n."""
+    """host, trust, distrust, each within TOLERANCE. seeds: host, good, bad; edges: src, dst, n.
+
+    A round moves only what the last one added. Shares that leave a host sum to 1 at most, so all that later rounds can
+    add anywhere is DAMPING / (1 - DAMPING) of the sum that the last one added.
+    """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
     each = edges.join(out, "src").join(into, "dst")
     forward = each.select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("out")).alias("t"), F.lit(0.0).alias("d"))
     back = each.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("n") / F.col("into")).alias("d"))
     flows = stored(forward.union(back).groupBy("host", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "flows")
-    start = stored(seeds.select("host", ((1 - DAMPING) * F.col("good")).alias("trust"), ((1 - DAMPING) * F.col("bad")).alias("distrust")), "seeds")
-    now = start
-    for i in range(1, ROUNDS + 1):
-        moved = flows.join(now, "host").select(F.col("to").alias("host"), (DAMPING * F.col("t") * F.col("trust")).alias("trust"), (DAMPING * F.col("d") * F.col("distrust")).alias("distrust"))
-        now = start.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % EACH == 0:
+    first = [((1 - DAMPING) * F.col("good")).alias("trust"), ((1 - DAMPING) * F.col("bad")).alias("distrust")]
+    now = stored(seeds.select("host", *first).select("host", "trust", "distrust", F.col("trust").alias("t1"), F.col("distrust").alias("d1")), "seeds")
+    rounds, none = 0, F.lit(0.0)
+    while True:
+        moved = flows.join(now, "host").select(F.col("to").alias("host"), none.alias("trust"), none.alias("distrust"), (DAMPING * F.col("t") * F.col("t1")).alias("t1"), (DAMPING * F.col("d") * F.col("d1")).alias("d1"))
+        held = now.select("host", "trust", "distrust", none.alias("t1"), none.alias("d1"))
+        now = held.union(moved).groupBy("host").agg((F.sum("trust") + F.sum("t1")).alias("trust"), (F.sum("distrust") + F.sum("d1")).alias("distrust"), F.sum("t1").alias("t1"), F.sum("d1").alias("d1"))
+        rounds += 1
+        if rounds % EACH == 0:
             now = stored(now, "scores")
-    return now
+            left = now.agg(F.greatest(F.sum("t1"), F.sum("d1"))).first()[0] or 0.0
+            if rounds >= ROUNDS and left * DAMPING / (1 - DAMPING) <= TOLERANCE:
+                return now.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -199,6 +199,23 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), queries.RULES).collect() == []
 
 
+def test_scores_of_hosts_are_the_solved_system(spark):
+    links = [("p.net", "q.org"), ("q.org", "p.net"), *(("hub.org", f"b{i}.net") for i in range(20)), ("c1.org", "hub.org"), *((f"c{i + 1}.org", f"c{i}.org") for i in range(1, 24))]
+    share = {"p.net": 0.17, **{f"b{i}.net": 1.0 for i in range(20)}}
+    hosts = sorted({h for e in links for h in e})
+    at = {h: i for i, h in enumerate(hosts)}
+    into = {v: sum(e[1] == v for e in links) for _, v in links}
+    back = np.zeros((len(hosts), len(hosts)))
+    for u, v in links:
+        back[at[u], at[v]] = 1 / into[v]
+    distrust = np.linalg.solve(np.eye(len(hosts)) - 0.85 * back, [0.15 * share.get(h, 0.0) for h in hosts])
+    rows = [(h, "/es/" if n < 100 * share.get(h, 0) else "/", "".join(f"<a href='http://{v}/'>" for u, v in links if u == h) if n == 99 else "") for h in hosts for n in range(100)]
+    frame = spark.createDataFrame([(i, f"http://{h}{path}", html) for i, (h, path, html) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(frame, queries.RULES).collect()}
+    assert got == {i: "block" if path == "/es/" or distrust[at[h]] >= 0.075 else "allow" for i, (h, path, _) in enumerate(rows)}
+    assert distrust[at["q.org"]] >= 0.075 and distrust[at["c20.org"]] >= 0.075 > distrust[at["c23.org"]]
+
+
 def test_automaton_accepts_what_is_one_edit_away():
     words = ["idiot", "idiom", "scum", "tart", "stärke"]
     a = toxicity.compile_words(list(enumerate(words)), 1)
