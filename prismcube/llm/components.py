@@ -40,11 +40,12 @@ def at_once(batches):
 def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """id, component (smallest id reachable) of every vertex of edges (u, v); loops and repeated edges are allowed.
 
-    Up to ``few`` edges, counted first, are joined in one task. Else each round hangs every vertex's larger neighbours, then its smaller ones, below the smallest; it ends when a round
-    changes nothing, after about log(diameter) rounds. A round is written to the shared folder. A vertex with a share of
-    all edges is reduced by a partial minimum and joined by a skew-splitting join.
+    Up to ``few`` edges, counted first, are joined in one task. Else each round hangs every vertex's larger neighbours,
+    then its smaller ones, below the smallest; it ends when a round changes nothing, after about log(diameter) rounds. A
+    round is written to the shared folder. A vertex with a share of all edges is reduced by a partial minimum and joined
+    by a skew-splitting join.
     """
-    edge = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edge = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     known = None
     while True:
         seen = Observation()
@@ -55,7 +56,7 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
             return edge.coalesce(1).mapInArrow(at_once, "id long, component long")
         if now == known:
             break
-        known = now
+        edge, known = (edge.distinct() if known is None else edge), now
         both = edge.union(edge.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()

@@ -5,14 +5,15 @@ under its own function, read as an exponential variable, on an exponential scale
 so the sketch of a union is the larger register of both, and the share of equal registers follows the similarity.
 
 1. Sets that are equal are one representative, by a 128-bit digest.
-2. Bands of ROWS registers send representatives to buckets; every member of a bucket is tied to its smallest one. A pair
-   at the threshold 0.75 shares no band with probability (1 - 0.75**4)**40 = 2e-7.
-3. Clusters are the connected components of these ties. All links lie inside clusters. Clusters are laid into tiles of
-   bounded size with their sketches and full sets, and tiles that share a cluster are compared in pairs.
-4. In a pair of tiles, registers give the joint maximum-likelihood estimate of the similarity; pairs under CUT (five
-   standard errors under the threshold) go. The others are confirmed on the full sets, best estimate first, unless
-   they are in one component already. A pair of tiles gives a forest, never its links, so a group of near copies costs
-   a row for each member and tile pair.
+2. Bands of ROWS registers send representatives to buckets. A pair at the threshold 0.75 shares no band with
+   probability (1 - 0.75**4)**40 = 2e-7.
+3. Members of a bucket are compared with its pivot, and what is left in tiles (``rounds``): every two that share a band are
+   compared or in one component already, and no output grows with the square of a bucket.
+4. A comparison takes the joint maximum-likelihood estimate of the similarity from both sketches; pairs under CUT (five
+   standard errors under the threshold) go. The others are confirmed on the full sets.
+
+A shingle counts by 64 bits of hash in these sets; two shingles of a pair of documents agree by chance with probability
+5e-14 for a thousand shingles each.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; with fewer words than a
 shingle the whole sequence is one; repeated rows are equal sets; a null doc_id names no component and is kept; an
@@ -30,17 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismcube.llm import rounds
 from prismcube.llm.common import documents, stored, tidy
-from prismcube.llm.components import components
-from prismcube.llm.tiles import Tile, forests, spanning
 from prismcube.llm.windows import gram_hashes
 
 SHINGLE, BANDS, ROWS = 5, 40, 4
 M = BANDS * ROWS
 #: SetSketch's base, rate and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
-#: Estimated similarity and share of equal registers from which on a pair is confirmed on the full sets.
-CUT, EQUAL = 0.55, 0.4
+#: Estimated similarity from which on a pair is confirmed on the full sets.
+CUT = 0.55
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Text bytes sketched at a time.
@@ -112,25 +112,31 @@ def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return 100 * both >= least * (len(a) + len(b) - both)
 
 
-def forest(a: Tile, b: Tile | None, least: int) -> list[tuple[int, int]]:
-    """Links between two tiles (or inside one), as many as connect what all of them connect."""
-    other = a if b is None else b
-    split = lambda t: (np.array([np.frombuffer(p, "<u2", M) for p in t.payloads]), [np.frombuffer(p, np.uint64, offset=2 * M) for p in t.payloads])
-    mine, own = split(a)
-    theirs, others = (mine, own) if b is None else split(b)
-    sizes, n = np.array([len(x) for x in others]), [len(x) for x in own]
-    places, pairs = other.by_cluster(), [np.zeros((0, 3))]
-    for i, c in enumerate(a.clusters.tolist()):
-        j = places.get(c, np.zeros(0, np.int64))
-        j = j[j > i] if b is None else j
-        j = j[100 * np.minimum(n[i], sizes[j]) >= least * np.maximum(n[i], sizes[j])]
-        j = j[(theirs[j] == mine[i]).sum(1) >= EQUAL * M]
-        if len(j):
-            got = estimate(np.full(len(j), float(n[i])), sizes[j].astype(float), (mine[i] > theirs[j]).sum(1), (mine[i] < theirs[j]).sum(1))
-            pairs.append(np.column_stack([np.full(len(j), i), j, got])[got >= CUT])
-    pairs = np.concatenate(pairs)
-    best_first = pairs[np.argsort(-pairs[:, 2], kind="stable"), :2].astype(int).tolist()
-    return spanning(a, best_first, lambda i, j: linked(own[i], others[j], least), b)
+def likely(n: np.ndarray, m: np.ndarray, more: np.ndarray, less: np.ndarray, cut: float = CUT) -> np.ndarray:
+    """Is estimate() ``cut`` or more? The likelihood has one maximum; it lies above cut where it still rises there."""
+    u, v = n / (n + m), m / (n + m)
+    x, y = u - v * cut, v - u * cut
+    able = (x > 0) & (y > 0)  # else even the smaller set's whole share is under cut
+    x, y = np.where(able, x, 0.5), np.where(able, y, 0.5)
+    share = (BASE - 1) / BASE
+    p = lambda z: -np.log1p(-z * share) / np.log(BASE)
+    slope = lambda z: share / ((1 - z * share) * np.log(BASE))
+    rising = -v * more * slope(x) / p(x) - u * less * slope(y) / p(y) + (M - more - less) * (v * slope(x) + u * slope(y)) / (1 - p(x) - p(y))
+    return able & (rising >= 0)
+
+
+def read(payload: bytes) -> Sketch:
+    return Sketch(np.frombuffer(payload, np.uint64, offset=2 * M), np.frombuffer(payload, "<u2", M))
+
+
+def same(a: Sketch, others: list[Sketch], least: int) -> np.ndarray:
+    """Which of others are linked with a: by size and registers first, then on the full sets."""
+    n, m = float(len(a.shingles)), np.array([len(x.shingles) for x in others], float)
+    theirs = np.stack([x.registers for x in others])
+    hit = (100 * np.minimum(n, m) >= least * np.maximum(n, m)) & likely(np.full(len(m), n), m, (a.registers > theirs).sum(1), (a.registers < theirs).sum(1))
+    for k in np.flatnonzero(hit).tolist():
+        hit[k] = linked(a.shingles, others[k].shingles, least)
+    return hit
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,20 +155,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
             )
 
     def with_sets(batches):
-        for b, texts in pieces(batches, 2):
+        for b, texts in pieces(batches, 1):
             s = list(sketches(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.registers.tobytes() + x.shingles.tobytes() for x in s], pa.binary())], names=["rep", "cluster", "payload"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.registers.tobytes() + x.shingles.tobytes() for x in s], pa.binary())], names=["rep", "payload"])
 
     sketched = stored(rows.mapInArrow(lambda b: tidy(sketch(b)), "doc_id long, n long, digest binary, registers binary"), "sketches")
     reps = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    buckets = reps.select("rep", band.alias("band", "bucket")).select("rep", "bucket")
-    low = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    ties = buckets.join(low, "bucket").where("rep > low").select(F.col("low").alias("u"), F.col("rep").alias("v")).distinct()
-    clusters = stored(components(ties).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
-    wanted = F.broadcast(clusters) if clusters.count() <= BROADCAST_IDS else clusters
-    sets = rows.join(wanted, rows.doc_id == clusters.rep).select("rep", "cluster", "text").mapInArrow(lambda b: tidy(with_sets(b)), "rep long, cluster long, payload binary")
-    reach = components(forests(sets, lambda a, b: forest(a, b, percent))).withColumnRenamed("id", "rep")
+    buckets = stored(rounds.meeting(reps.select("rep", band.alias("band", "bucket")).select("rep", "bucket")), "buckets")
+    members = stored(buckets.select("rep").distinct(), "candidates")
+    wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+    sets = rows.join(wanted, rows.doc_id == members.rep).select("rep", "text").mapInArrow(lambda b: tidy(with_sets(b)), "rep long, payload binary")
+    reach = rounds.groups(buckets, stored(sets, "sets"), read, lambda a, others: same(a, others, percent)).withColumnRenamed("id", "rep")
     known = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")).join(reach, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(known, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

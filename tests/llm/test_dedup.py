@@ -1,12 +1,13 @@
 """Repeated bytes and words, near copies, vectors: against brute force."""
 
 import hashlib
+import random
 from itertools import pairwise
 
 import numpy as np
 import pytest
 
-from prismcube.llm import common, components, embed_dedup, near_dedup, suffix_dedup, windows, word_dedup
+from prismcube.llm import common, components, embed_dedup, near_dedup, rounds, suffix_dedup, windows, word_dedup
 
 LAST = 2**62
 
@@ -132,9 +133,7 @@ def test_near_copies(docs):
 
 
 def test_near_copies_across_small_tiles(docs, monkeypatch):
-    from prismcube.llm import tiles
-
-    monkeypatch.setattr(tiles, "MEMBERS", 7)
+    monkeypatch.setattr(rounds, "MEMBERS", 7)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     assert by_row(map(tuple, near_dedup.near_duplicates(docs).collect())) == expected_components(docs)
     kept = near_dedup.without_duplicates(docs)
@@ -152,6 +151,28 @@ def test_threshold_is_exact_and_low_ones_are_refused(spark, docs):
         near_dedup.near_duplicates(docs, 70)
 
 
+def test_a_cluster_of_a_third_of_the_rows(spark, monkeypatch):
+    """Chains of edits: copies of copies, some over the threshold and most a little under it."""
+    monkeypatch.setattr(rounds, "MEMBERS", 16)
+    rng, words = random.Random(4), [f"w{i}" for i in range(120)]
+    texts = [[w if rng.random() > share else f"{w}x{n}" for w in words] for n in range(60) for share in [rng.choice((0.01, 0.02, 0.04, 0.06))]]
+    texts += [[f"o{n}y{rng.randrange(9999)}" for _ in range(60)] for n in range(120)]
+    frame = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    expected = expected_components(frame)
+    assert len({c for _, _, c, _ in expected}) < 170
+    assert by_row(map(tuple, near_dedup.near_duplicates(frame).collect())) == expected
+
+
+def test_likely_is_the_estimate_at_the_cut():
+    rng = np.random.default_rng(6)
+    n, m = rng.integers(5, 400, 500).astype(float), rng.integers(5, 400, 500).astype(float)
+    more = rng.integers(0, 80, 500)
+    less = rng.integers(0, 80, 500)
+    got, value = near_dedup.likely(n, m, more, less), near_dedup.estimate(n, m, more, less, 2000)
+    clear = np.abs(value - near_dedup.CUT) > 0.002
+    assert (got[clear] == (value >= near_dedup.CUT)[clear]).all() and got[clear].any() and not got[clear].all()
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(5)
     for share in (0.2, 0.5, 0.8):
