@@ -167,7 +167,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     sets = rows.join(wanted, rows.doc_id == members.rep).select("rep", "text").mapInArrow(lambda b: tidy(with_sets(b)), "rep long, payload binary")
     reach = rounds.groups(buckets, stored(sets, "sets"), read, lambda a, others: same(a, others, percent)).withColumnRenamed("id", "rep")
-    known = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")).join(reach, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    known = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).join(reach, "rep", "left")
+    known = known.where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
+    known = stored(known, "known")  # so that the join on a digest that many rows have can be split
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(known, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
