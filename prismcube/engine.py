@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from prismcube.operators import compile as plans
 from prismcube.operators import rollups
 from prismcube.plans.router import DETAIL, Route, choose, obstacle
 from prismcube.plans.spec import QuerySpec, parse
-from prismcube.store import CACHE_BYTES, Warehouse
+from prismcube.store import CACHE_BYTES, COMPACT, Warehouse
+
+#: Tables of a warehouse that are written at the same time.
+WRITERS = 6
 
 
 @dataclass
@@ -53,15 +57,19 @@ class Engine:
     def add_rollup(self, definition: RollupDef, frame: DataFrame, rows: int) -> None:
         self._definitions[definition.name], self._frames[definition.name], self._sizes[definition.name] = definition, frame, rows
 
-    def prepare(self, events: DataFrame, rollup_names: Iterable[str] | None = None, method: str = "lattice", compression: str = "zstd", partition_minutes: bool = False, detail: bool = True) -> dict[str, int]:
+    def prepare(self, events: DataFrame, rollup_names: Iterable[str] | None = None, method: str = "lattice", compression: str = "zstd", partition_minutes: bool = True, detail: bool = True) -> dict[str, int]:
         """Builds rollups (None: all of the model) and detail rows; returns the rollups' row counts.
 
-        The detail rows are written first and rollups are built from them, so the source is read once.
+        The detail rows are written first and rollups are built from them, so the source is read once; rollups that don't
+        build on each other are written at the same time. Nothing counts before all of it is written.
         """
         if self.warehouse is None:
             raise WarehouseError("this engine has no warehouse")
+        if method not in ("lattice", "grouping_sets", "direct"):
+            raise WarehouseError(f"method is lattice, grouping_sets or direct, not {method!r}")
         house = self.warehouse
-        base = house.write_detail(events) if detail else events
+        house.refresh()
+        base = house.write_detail(events, save=False) if detail else events
         names = [r.name for r in self.model.rollups] if rollup_names is None else list(rollup_names)
         wanted = [self.model.rollup(n) for n in names]
 
@@ -71,39 +79,51 @@ class Engine:
             if by:
                 definition = RollupDef(name, ("day", *definition.dims))
                 frame = plans.with_coarser(frame, self.model.rollup(name), {"day"}, self.model)
-            return house.write_rollup(definition, frame, compression, by)
-
-        if method == "lattice":
-            rollups.build_lattice(base, wanted, self.model, keep)
-        elif method in ("grouping_sets", "direct"):
-            built = rollups.build_by_grouping_sets(base, wanted, self.model) if method == "grouping_sets" else {r.name: rollups.build(base, r, self.model) for r in wanted}
-            for name, frame in built.items():
-                keep(name, frame)
-        else:
-            raise WarehouseError(f"method is lattice, grouping_sets or direct, not {method!r}")
+            return house.write_rollup(definition, frame, compression, by, save=False)
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            if method == "lattice":
+                rollups.build_lattice(base, wanted, self.model, keep, pool)
+            else:
+                built = rollups.build_by_grouping_sets(base, wanted, self.model) if method == "grouping_sets" else {r.name: rollups.build(base, r, self.model) for r in wanted}
+                for done in [pool.submit(keep, name, frame) for name, frame in built.items()]:
+                    done.result()
+        house.save()
         return {n: house.manifest.rollups[n].rows for n in names}
 
-    def append(self, events: DataFrame) -> None:
-        """Merges the rollups of more events, disjoint from those before, into the warehouse's, and adds their rows."""
+    def append(self, events: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """Adds more events, disjoint from those before: their rows, and their state as a new part of every rollup.
+
+        Only the new events are read; parts are merged when a rollup is read, and into one when there are COMPACT of them.
+        All of it counts at once. batch: a stream and the number of its batch; one that is in already is not added again.
+        Returns whether the events were added.
+        """
         if self.warehouse is None:
             raise WarehouseError("this engine has no warehouse")
         house = self.warehouse
-        for name, entry in list(house.manifest.rollups.items()):
-            definition = RollupDef(name, tuple(entry.dims))
-            house.reset()
-            whole = rollups.merge([house.rollup(name, 0), rollups.build(events, definition, self.model)], definition, self.model)
-            # the new state is written beside the old one first: a table can't be overwritten while it is read
-            beside = RollupDef(f"{name}.next", definition.dims)
-            fresh = house.write_rollup(beside, whole, entry.compression, tuple(entry.partitioned_by))
-            house.write_rollup(definition, fresh, entry.compression, tuple(entry.partitioned_by))
-            del house.manifest.rollups[beside.name]
-            p, fs = house._fs(house.rollup_path(beside.name))
-            fs.delete(p, True)
-        if house.manifest.detail_rows is not None:
-            rows = plans.with_time_dims(events, self.model)
-            rows.select(*house.detail().columns).write.mode("append").option("compression", "snappy").parquet(f"{house.path}/detail")
-            house.manifest.detail_rows = house.detail().count()
+        house.refresh()
+        if batch and house.manifest.streams.get(batch[0], -1) >= batch[1]:
+            return False
+
+        def add(name: str) -> None:
+            entry, definition = house.manifest.rollups[name], house.definition(name)
+            house.write_rollup(definition, rollups.build(events, definition, self.model), entry.compression, tuple(entry.partitioned_by), add=True, save=False)
+            if len(house.manifest.rollups[name].parts) >= COMPACT:
+                house.compact(name, save=False)
+
+        def add_rows() -> None:
+            house.write_detail(events, add=True, save=False)
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            work = [pool.submit(add, name) for name in list(house.manifest.rollups)]
+            if house.manifest.detail_parts:
+                work.append(pool.submit(add_rows))
+            for done in work:
+                done.result()
+        if batch:
+            house.manifest.streams[batch[0]] = batch[1]
         house.save()
+        return True
 
     @property
     def definitions(self) -> dict[str, RollupDef]:
@@ -176,7 +196,7 @@ class Engine:
         checks.append(("rollups", not missing, f"missing: {', '.join(missing)}" if missing else f"{len(manifest.rollups)} found"))
         for name, entry in sorted(manifest.rollups.items()):
             try:
-                rows = self.warehouse.rollup(name, 0).count()
+                rows = self.warehouse.stored(name).count()
                 checks.append((name, rows == entry.rows, f"{rows} rows"))
             except Exception as e:  # noqa: BLE001
                 checks.append((name, False, str(e).splitlines()[0]))

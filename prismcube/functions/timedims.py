@@ -63,5 +63,12 @@ def calendar_day(year_and_day: Column) -> Column:
     return F.date_format(F.date_add(start, F.substring(year_and_day, 6, 3).cast("int") - 1), "yyyy-MM-dd")
 
 
-#: The same as DuckDB SQL, for oracles.
-SQL_TIME_DIM = {"day": "strftime(ts, '%Y-%m-%d')", "hour": "strftime(ts, '%Y-%m-%d %H:00')", "minute": "strftime(ts, '%Y-%m-%d %H:%M')", "week": "strftime(ts, '%Y-W%V')"}
+def sql_time_dim(name: str, ts: str, encoding: TimeEncoding = TimeEncoding.ISO_WEEK) -> str:
+    """The same as DuckDB SQL over a timestamp expression, for oracles."""
+    if name == "week" and encoding is TimeEncoding.TRUNC:
+        return f"strftime(date_trunc('week', {ts}), '%Y-%m-%d')"
+    form = {"day": "%Y-%m-%d", "hour": "%Y-%m-%d %H:00", "minute": "%Y-%m-%d %H:%M", "week": "%Y-W%V"}
+    return f"strftime({ts}, '{form[name]}')"
+
+
+SQL_TIME_DIM = {d: sql_time_dim(d, "ts") for d in TIME_DIMS}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import Executor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -57,22 +58,27 @@ def parent_of(definition: RollupDef, others: Iterable[RollupDef], model: CubeMod
     return min(able, key=lambda r: (len(r.dims), fine(r), r.name), default=None)
 
 
-def build_lattice(events: DataFrame, definitions: Iterable[RollupDef], model: CubeModel, keep=lambda name, df: df) -> dict[str, DataFrame]:
+def build_lattice(events: DataFrame, definitions: Iterable[RollupDef], model: CubeModel, keep=lambda name, df: df, pool: Executor | None = None) -> dict[str, DataFrame]:
     """All rollups, those that another one gives from that one, the others from detail rows.
 
-    keep(name, frame) may store or cache a rollup before others are built on it and returns what to build on.
+    keep(name, frame) may store or cache a rollup before others are built on it and returns what to build on. With a
+    pool, a rollup starts as soon as the one that it is built on is kept.
     """
     definitions = list(definitions)
-    built: dict[str, DataFrame] = {}
+    parents = {r.name: parent_of(r, definitions, model) for r in definitions}
+    depth = lambda r: 0 if parents[r.name] is None else 1 + depth(parents[r.name])
+    kept: dict[str, Callable[[], DataFrame]] = {}
 
     def make(r: RollupDef) -> DataFrame:
-        if r.name not in built:
-            parent = parent_of(r, definitions, model)
-            frame = roll_up(make(parent), parent, r, model) if parent else build(events, r, model)
-            built[r.name] = keep(r.name, frame)
-        return built[r.name]
-
-    return {r.name: make(r) for r in definitions}
+        parent = parents[r.name]
+        return keep(r.name, roll_up(kept[parent.name](), parent, r, model) if parent else build(events, r, model))
+
+    for r in sorted(definitions, key=depth):  # parents are submitted first, so none waits for a thread that waits for it
+        if pool:
+            kept[r.name] = pool.submit(make, r).result
+        else:
+            kept[r.name] = lambda frame=make(r): frame
+    return {r.name: kept[r.name]() for r in definitions}
 
 
 def roll_up(frame: DataFrame, parent: RollupDef, definition: RollupDef, model: CubeModel) -> DataFrame:

@@ -20,7 +20,7 @@ from typing import Any
 from pyspark.sql import types as T
 
 from prismcube.errors import QueryError
-from prismcube.functions.timedims import SQL_TIME_DIM
+from prismcube.functions.timedims import TIME_DIMS, sql_time_dim
 from prismcube.model import CubeModel
 
 #: Functions that rollups can answer, and those that need the detail table.
@@ -207,8 +207,9 @@ def literal(value: Any, kind: T.DataType) -> Any:
 
 
 def to_sql(spec: QuerySpec, model: CubeModel, source: str | None = None) -> str:
-    """The query as SQL text over the base columns, for oracles; calendar dimensions are spelled out."""
-    time = (lambda c: SQL_TIME_DIM[c].replace("ts", model.time, 1) if c in SQL_TIME_DIM and c not in model.schema.names else c)
+    """The query as DuckDB's SQL over the base columns, for oracles; calendar dimensions are spelled out as the model has them."""
+    ts = f"make_timestamp({model.time} * 1000)" if model.epoch_millis else model.time
+    time = lambda c: sql_time_dim(c, ts, model.week) if c in TIME_DIMS and c not in model.schema.names else c
     agg = {"COUNT_DISTINCT": "count(distinct {})", "APPROX_COUNT_DISTINCT": "approx_count_distinct({})", "STDDEV": "stddev_samp({})"}
     shown = lambda x: f'{time(x)} as "{x}"' if isinstance(x, str) else f'{expr(x)} as "{x.name}"'
     expr = lambda a: agg.get(a.func, a.func.lower() + "({})").format("*" if a.column == "*" else time(a.column))

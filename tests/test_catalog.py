@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from prismcube import catalog
+from prismcube import catalog, warehouse_catalog
+
+QUERIES, SQL = {**catalog.QUERIES, **warehouse_catalog.QUERIES}, {**catalog.SQL, **warehouse_catalog.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -22,10 +24,10 @@ def as_text(value):
     return "NULL" if value is None or value != value else repr(float(value)) if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, duck, tables, name):
-    frame = catalog.QUERIES[name](spark, tables)
-    cursor = duck.execute(catalog.SQL[name])
+    frame = QUERIES[name](spark, tables)
+    cursor = duck.execute(SQL[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(frame.columns) == sorted(columns)
     order = sorted(columns)
@@ -35,7 +37,7 @@ def test_equals_sql(spark, duck, tables, name):
 
 def test_entry_and_registration(spark, small):
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
 def test_engine_imports_nothing_of_the_training_data_operators():

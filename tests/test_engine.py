@@ -7,6 +7,7 @@ import math
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from prismcube.engine import Engine
 from prismcube.errors import QueryError, WarehouseError
@@ -15,8 +16,8 @@ from prismcube.model import COMBINED, CORE, RollupDef
 from prismcube.operators import profile, rollups
 from prismcube.plans.router import DETAIL
 from prismcube.plans.spec import parse
-from prismcube.store import Warehouse
-from prismcube.streaming.incremental import keep_current
+from prismcube.store import COMPACT, Warehouse
+from prismcube.streaming.incremental import keep_current, windowed_state
 
 
 def millis(text):
@@ -209,7 +210,7 @@ def test_warehouse_round_trip_append_and_validation(spark, events, tmp_path):
 def test_partition_filter_reaches_the_scan(spark, events, tmp_path):
     e = Engine(spark, M, str(tmp_path / "house"))
     e.prepare(events, ["minute_type"], partition_minutes=True)
-    frame = e.warehouse._open("minute_type", RollupDef("minute_type", ("day", "minute", "type"))).where("day = '2024-02-29'")
+    frame = e.warehouse.stored("minute_type").where("day = '2024-02-29'")
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
     detail = e.query({"select": ["type"], "where": [{"col": "country", "op": "eq", "val": "US"}]}, "detail")
@@ -238,6 +239,66 @@ def test_stream_keeps_rollups_current(spark, events, tmp_path):
     assert e.query({"select": [{"COUNT": "*"}]}, "day_type").first()[0] == 10
 
 
+def test_a_second_stream_is_added_and_a_failed_append_leaves_no_trace(spark, events, tmp_path, monkeypatch):
+    path = str(tmp_path / "house")
+    e = Engine(spark, M, path)
+    e.prepare(events, ["day_type", "country_type"])
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(M.schema).parquet(str(tmp_path / "in"))
+    count = {"select": [{"COUNT": "*"}]}
+    for n, check in enumerate(("one", "two", "two"), 2):
+        keep_current(e, source, str(tmp_path / check)).awaitTermination(120)
+        assert e.query(count, "day_type").first()[0] == e.query(count, "detail").first()[0] == 10 * min(n, 3)
+    write, calls = Warehouse.write_rollup, []
+
+    def failing(self, definition, *rest, **named):
+        calls.append(definition.name)
+        if definition.name == "country_type":
+            raise OSError("the disk is full")
+        return write(self, definition, *rest, **named)
+
+    monkeypatch.setattr(Warehouse, "write_rollup", failing)
+    with pytest.raises(OSError):
+        e.append(events, ("loader", 1))
+    monkeypatch.undo()
+    assert "day_type" in calls
+    for fresh in (Engine(spark, M, path), e):
+        fresh.warehouse.refresh()
+        assert {fresh.query(count, r).first()[0] for r in ("day_type", "country_type", "detail")} == {30}
+    assert e.append(events, ("loader", 1)) and not e.append(events, ("loader", 1))
+    assert {e.query(count, r).first()[0] for r in ("day_type", "country_type", "detail")} == {40}
+    assert e.warehouse.vacuum() > 0
+    assert {e.query(count, r).first()[0] for r in ("day_type", "country_type", "detail")} == {40}
+
+
+def test_many_appends_are_merged_into_one_part_and_writers_notice_each_other(spark, events, tmp_path):
+    path = str(tmp_path / "house")
+    e = Engine(spark, M, path)
+    e.prepare(events, ["country_type"], detail=False)
+    other = Engine(spark, M, path)
+    for _ in range(COMPACT):
+        e.append(events)
+    assert len(e.warehouse.manifest.rollups["country_type"].parts) < COMPACT
+    assert e.query({"select": [{"COUNT": "*"}]}, "country_type").first()[0] == 10 * (COMPACT + 1)
+    with pytest.raises(WarehouseError):
+        other.warehouse.save()
+
+
+def test_windowed_groups_come_out_once(spark, events, tmp_path):
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    late = events.limit(1).withColumn("ts", F.lit(4102444800000)) if M.epoch_millis else events.limit(1).withColumn("ts", F.lit("2100-01-01").cast(M.schema["ts"].dataType))
+    late.write.mode("append").parquet(str(tmp_path / "in"))
+    e = Engine.frames(spark, events, M)
+    for name in ("day_type", "week_type"):
+        stream = windowed_state(e, spark.readStream.schema(M.schema).parquet(str(tmp_path / "in")), name)
+        stream.writeStream.format("memory").queryName(f"w_{name}").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
+        got = [r for r in spark.table(f"w_{name}").collect() if not r[0].startswith("2100")]
+        expected = rollups.build(events.where("ts is not null"), M.rollup(name), M).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, expected), key=repr)
+    with pytest.raises(QueryError):
+        windowed_state(e, events, "country_type")
+
+
 def test_profiles(events):
     got = {r.name: (r.rows, r.distinct, round(r.null_pct)) for r in profile.columns(events, ["country", "bid_price"]).collect()}
     assert got == {"country": (10, 3, 20), "bid_price": (10, 2, 80)}

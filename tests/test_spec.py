@@ -87,3 +87,28 @@ def test_loads_queries_from_files_and_folders(tmp_path):
     for bad in (lambda: queries.load(file=str(tmp_path / "none.json")), lambda: queries.from_text("{"), lambda: queries.load(folder=str(tmp_path / "none"))):
         with pytest.raises(QueryError):
             bad()
+
+
+def test_sql_of_epoch_times_and_of_weeks_by_their_monday():
+    import dataclasses
+
+    import duckdb
+
+    from prismcube.functions.timedims import TimeEncoding
+
+    con = duckdb.connect()
+    con.execute("create table events as select epoch_ms(t) as ts, 1.5 as bid_price from unnest([timestamp '2024-12-30 23:59:59', timestamp '2027-01-01 00:00:00']) as x(t)")
+    query = {"select": ["week", "day", {"SUM": "bid_price"}], "group_by": ["week", "day"], "order_by": [{"col": "day"}]}
+    for week, expected in ((TimeEncoding.ISO_WEEK, ["2024-W01", "2027-W53"]), (TimeEncoding.TRUNC, ["2024-12-30", "2026-12-28"])):
+        model = dataclasses.replace(M, week=week)
+        assert con.execute(to_sql(parse(query, model), model)).fetchall() == [(expected[0], "2024-12-30", 1.5), (expected[1], "2027-01-01", 1.5)]
+
+
+def test_weeks_at_the_ends_of_years(spark):
+    from pyspark.sql import functions as F
+
+    from prismcube.functions.timedims import TimeEncoding, time_dim
+
+    rows = spark.sql("select timestamp '2024-12-30 23:59:59' as t union all select timestamp '2027-01-01 00:00:00'")
+    got = rows.select(time_dim("week", F.col("t")).alias("a"), time_dim("week", F.col("t"), TimeEncoding.TRUNC).alias("b")).orderBy("a").collect()
+    assert [tuple(r) for r in got] == [("2024-W01", "2024-12-30"), ("2027-W53", "2026-12-28")]
