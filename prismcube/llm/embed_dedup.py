@@ -1,11 +1,13 @@
 """Embedding near-dedup: PCA-ordered tiled comparison.
 
-Equal vectors of a label are one representative with a multiplicity. Unit representatives are ordered by label and
-leading principal coordinate and cut into tiles. Pairs of tiles of a label whose boxes of leading coordinates are too
-far apart are skipped; the others are compared block of coordinates by block, leading ones first: a pair is dropped as
-soon as its product so far plus the product of the two suffix norms can't reach the threshold. What is left is
-decided by its cosine in double precision on the vectors as given. A tile pair gives link counts and a local forest,
-never its links, so a group of near copies costs a row for each vector and tile pair.
+Equal vectors of a label (by a 128-bit digest) are one representative with a multiplicity. Unit representatives fall into
+cells of CELL leading principal coordinates, as wide as two linked ones can differ in one; they are ordered by label, cell and
+leading coordinate and cut into tiles, and tiles of neighbouring cells meet by an equi-join. Pairs of tiles whose boxes
+of leading coordinates are too far apart are skipped; the others are compared block of coordinates by block, leading ones
+first: a pair is dropped as soon as its product so far plus the product of the two suffix norms can't reach the
+threshold. What is left is decided by its cosine in double precision on the vectors as given, up to a power of two that
+keeps squares in range. A tile pair gives link counts and a local forest, never its links, so a group of near copies
+costs a row for each vector and tile pair.
 
 The basis comes from at most SAMPLE representatives; it only orders and bounds, any rotation gives the same result.
 
@@ -16,6 +18,10 @@ null vec_id is kept and names no component; an empty table gives an empty result
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,8 +31,8 @@ from pyspark.sql import functions as F
 from prismcube.llm.common import partitions, stored
 from prismcube.llm.components import components, roots
 
-#: Vectors in a tile; coordinates compared at a time; leading coordinates in a tile's box; vectors that give the basis.
-TILE, BLOCK, BOX, SAMPLE = 512, 16, 8, 4096
+#: Vectors in a tile; coordinates compared at a time; leading coordinates of a cell and in a tile's box; vectors that give the basis.
+TILE, BLOCK, CELL, BOX, SAMPLE = 512, 16, 2, 8, 4096
 #: Room for rounding in bounds.
 EPS = 1e-6
 
@@ -39,13 +45,18 @@ def bases(vectors: DataFrame) -> dict[int, np.ndarray]:
         by_length.setdefault(len(v), []).append(v)
     out = {}
     for n, rows in by_length.items():
-        x = np.array(rows, np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.array(rows, np.float64))
         out[n] = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two, which is exact, so that the largest component is between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -63,6 +74,7 @@ def links(a: np.ndarray, b: np.ndarray, basis: np.ndarray, least: float) -> tupl
         have = have + np.einsum("ij,ij->i", p[i, low:high], q[j, low:high])
         open_ = have + tail(p, high)[i] * tail(q, high)[j] >= least - EPS
         i, j, have = i[open_], j[open_], have[open_]
+    a, b = scaled(a), scaled(b)
     cosine = np.einsum("ij,ij->i", a[i], b[j]) / (np.linalg.norm(a, axis=1)[i] * np.linalg.norm(b, axis=1)[j])
     return i[cosine >= least], j[cosine >= least]
 
@@ -73,43 +85,49 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vec"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     usable = F.col("label").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", fine) & F.exists("vec", lambda x: x != 0)
-    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    reps = stored(rows.where("usable").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where(F.col("rep").isNotNull()), "vectors")
+    digest = [F.when(usable, F.xxhash64(F.lit(k), "vec")).alias(f"digest{k}") for k in (1, 2)]  # null where not usable
+    reps = stored(rows.where(usable).groupBy("label", *digest).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")).where(F.col("rep").isNotNull()), "vectors")
     basis = spark.sparkContext.broadcast(bases(reps))  # at most SAMPLE vectors' lengths, a square matrix each
     whole = lambda n: basis.value.get(n, np.eye(n))
 
+    width = float(np.sqrt(2 - 2 * least + EPS))
+
     def ordered(batches):
         for b in batches:
-            out = [[], []]
-            for v in b.column(1):
-                x = np.array(v.as_py())
-                out[0].append(float(unit(x[None]) @ whole(len(x))[:, 0]))
-                out[1].append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 8 for x in out[1]], pa.int32()), pa.array(out[0], pa.float64()), b.column(2), b.column(3), pa.array(out[1], pa.binary())], names=["label", "dims", "lead", "rep", "n", "vec"])
+            at = b.column(1).offsets.to_numpy()
+            flat, dims = b.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64), np.diff(at)
+            lead = np.zeros((b.num_rows, CELL))
+            for n in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == n)
+                p = unit(flat[at[own][:, None] + np.arange(n)]) @ whole(n)[:, :CELL]
+                lead[own, : p.shape[1]] = p
+            cells = np.floor(lead / width).astype(np.int64)
+            vec = [flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.int32()), pa.array(cells.tolist(), pa.list_(pa.int64())), pa.array(lead[:, 0]), b.column(2), b.column(3), pa.array(vec, pa.binary())], names=["label", "dims", "cell", "lead", "rep", "n", "vec"])
 
     def tiles(batches):
         number, held, group = TaskContext.get().partitionId() << 24, [], None
 
         def tile():
-            x = np.array([np.frombuffer(r[5]) for r in held])
+            x = np.array([np.frombuffer(r[6]) for r in held])
             lead = (unit(x) @ whole(x.shape[1]))[:, :BOX]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number], pa.int64()), pa.array([held[0][0]], label_type), pa.array([held[0][1]], pa.int32()),
+                    pa.array([number], pa.int64()), pa.array([held[0][0]], label_type), pa.array([held[0][1]], pa.int32()), pa.array([held[0][2]], pa.list_(pa.int64())),
                     pa.array([lead.min(0).tolist()], pa.list_(pa.float64())), pa.array([lead.max(0).tolist()], pa.list_(pa.float64())),
-                    pa.array([[r[3] for r in held]], pa.list_(pa.int64())), pa.array([[r[4] for r in held]], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()),
+                    pa.array([[r[4] for r in held]], pa.list_(pa.int64())), pa.array([[r[5] for r in held]], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()),
                 ],
-                names=["tile", "label", "dims", "low", "high", "reps", "counts", "data"],
+                names=["tile", "label", "dims", "cell", "low", "high", "reps", "counts", "data"],
             )
 
         label_type = None
         for b in batches:
             label_type = b.schema.field(0).type
-            for r in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if held and (len(held) == TILE or r[:2] != group):
+            for r in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if held and (len(held) == TILE or r[:3] != group):
                     yield tile()
                     number, held = number + 1, []
-                group = r[:2]
+                group = r[:3]
                 held.append(r)
         if held:
             yield tile()
@@ -140,18 +158,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
     label_kind = dict(rows.dtypes)["label"]
     count = reps.count()
     n = max(1, min(partitions(spark), -(-count // TILE)))
-    by = ["label", "dims", "lead", "rep"]
-    lead = reps.select("label", "vec", "rep", "n").mapInArrow(ordered, f"label {label_kind}, dims int, lead double, rep long, n long, vec binary")
-    tile = stored(lead.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(tiles, f"tile long, label {label_kind}, dims int, low array<double>, high array<double>, reps array<long>, counts array<long>, data binary"), "tiles")
-    box = tile.select("tile", "label", "dims", "low", "high")
+    by = ["label", "dims", "cell", "lead", "rep"]
+    lead = reps.select("label", "vec", "rep", "n").mapInArrow(ordered, f"label {label_kind}, dims int, cell array<long>, lead double, rep long, n long, vec binary")
+    tile = stored(lead.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(tiles, f"tile long, label {label_kind}, dims int, cell array<long>, low array<double>, high array<double>, reps array<long>, counts array<long>, data binary"), "tiles")
+    box = tile.select("tile", "label", "dims", "cell", "low", "high")
+    steps = [F.array(*(F.col("cell")[k] + x for k, x in enumerate(step))) for step in product((-1, 0, 1), repeat=CELL)]
+    around = box.withColumn("cell", F.explode(F.array(*steps)))
     gap = F.aggregate(F.zip_with(F.zip_with("a.low", "b.high", lambda x, y: x - y), F.zip_with("b.low", "a.high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x * x)
-    pair = box.alias("a").join(box.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.dims") == F.col("b.dims")) & (F.col("a.tile") <= F.col("b.tile")) & (gap <= 2 - 2 * least + EPS)).select(F.col("a.tile").alias("first"), F.col("b.tile").alias("second"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "dims", "cell")]
+    pair = box.alias("a").join(around.alias("b"), reduce(and_, same) & (F.col("a.tile") <= F.col("b.tile")) & (gap <= 2 - 2 * least + EPS)).select(F.col("a.tile").alias("first"), F.col("b.tile").alias("second"))
     side = lambda name: tile.select(F.col("tile").alias(name), F.col("reps").alias(f"{name}_reps"), F.col("counts").alias(f"{name}_counts"), F.col("data").alias(f"{name}_data"), F.col("dims").alias(f"{name}_dims"))
     joined = pair.repartition("first", "second").join(side("first"), "first").join(side("second"), "second")
     found = stored(joined.select(F.col("first") == F.col("second"), "first_dims", "first_reps", "first_counts", "first_data", "second_reps", "second_counts", "second_data").mapInArrow(compare, "u long, v long, links long"), "links")
     own = found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
     reach = components(found.select("u", "v")).withColumnRenamed("id", "rep")
-    known = reps.select("label", "vec", "rep", "n").join(own, "rep", "left").join(reach, "rep", "left").select("label", "vec", F.lit(True).alias("usable"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(known, ["label", "vec", "usable"], "left")
+    known = reps.select("label", "digest1", "digest2", "rep", "n").join(own, "rep", "left").join(reach, "rep", "left").where("n > 1 or links is not null")
+    known = stored(known.select("label", "digest1", "digest2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
+    out = rows.select("vec_id", "label", *digest).join(known, ["label", "digest1", "digest2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -39,8 +39,8 @@ SHINGLE, BANDS, ROWS = 5, 40, 4
 M = BANDS * ROWS
 #: SetSketch's base, rate and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
-#: Estimated similarity from which on a pair is confirmed on the full sets.
-CUT = 0.55
+#: Estimated similarity, and share of equal registers before that, from which on a pair is confirmed on the full sets.
+CUT, EQUAL = 0.55, 0.4
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Text bytes sketched at a time.
@@ -125,17 +125,28 @@ def likely(n: np.ndarray, m: np.ndarray, more: np.ndarray, less: np.ndarray, cut
     return able & (rising >= 0)
 
 
-def read(payload: bytes) -> Sketch:
-    return Sketch(np.frombuffer(payload, np.uint64, offset=2 * M), np.frombuffer(payload, "<u2", M))
+class Sketches(NamedTuple):
+    """Of several documents, as payloads give them."""
+
+    shingles: list[np.ndarray]
+    sizes: np.ndarray
+    registers: np.ndarray
+
+
+def read(payloads: list[bytes]) -> Sketches:
+    shingles = [np.frombuffer(p, np.uint64, offset=2 * M) for p in payloads]
+    return Sketches(shingles, np.array([len(x) for x in shingles], float), np.stack([np.frombuffer(p, "<u2", M) for p in payloads]))
 
 
-def same(a: Sketch, others: list[Sketch], least: int) -> np.ndarray:
-    """Which of others are linked with a: by size and registers first, then on the full sets."""
-    n, m = float(len(a.shingles)), np.array([len(x.shingles) for x in others], float)
-    theirs = np.stack([x.registers for x in others])
-    hit = (100 * np.minimum(n, m) >= least * np.maximum(n, m)) & likely(np.full(len(m), n), m, (a.registers > theirs).sum(1), (a.registers < theirs).sum(1))
-    for k in np.flatnonzero(hit).tolist():
-        hit[k] = linked(a.shingles, others[k].shingles, least)
+def same(some: Sketches, i: int, others: Sketches, js: np.ndarray, least: int) -> np.ndarray:
+    """Which of others (at js) are linked with i of some: by size and registers first, then on the full sets."""
+    n, m, mine = some.sizes[i], others.sizes[js], some.registers[i]
+    able = np.flatnonzero(100 * np.minimum(n, m) >= least * np.maximum(n, m))
+    able = able[(others.registers[js[able]] == mine).sum(1) >= EQUAL * M]
+    theirs = others.registers[js[able]]
+    able = able[likely(np.full(len(able), n), m[able], (mine > theirs).sum(1), (mine < theirs).sum(1))]
+    hit = np.zeros(len(js), bool)
+    hit[able] = [linked(some.shingles[i], others.shingles[j], least) for j in js[able].tolist()]
     return hit
 
 
@@ -163,10 +174,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
     reps = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     buckets = stored(rounds.meeting(reps.select("rep", band.alias("band", "bucket")).select("rep", "bucket")), "buckets")
-    members = stored(buckets.select("rep").distinct(), "candidates")
-    wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    sets = rows.join(wanted, rows.doc_id == members.rep).select("rep", "text").mapInArrow(lambda b: tidy(with_sets(b)), "rep long, payload binary")
-    reach = rounds.groups(buckets, stored(sets, "sets"), read, lambda a, others: same(a, others, percent)).withColumnRenamed("id", "rep")
+    members = buckets.select("rep")
+    wanted = F.broadcast(members) if buckets.count() <= BROADCAST_IDS else members.distinct()
+    sets = rows.join(wanted, rows.doc_id == members.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(lambda b: tidy(with_sets(b)), "rep long, payload binary")
+    reach = rounds.groups(buckets, stored(sets, "sets"), read, lambda a, i, b, js: same(a, i, b, js, percent)).withColumnRenamed("id", "rep")
     known = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).join(reach, "rep", "left")
     known = known.where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
     known = stored(known, "known")  # so that the join on a digest that many rows have can be split

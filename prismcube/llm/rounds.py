@@ -30,16 +30,16 @@ from prismcube.llm.components import components
 #: Members and payload bytes in a tile, at most (a larger member is a tile of its own).
 MEMBERS, BYTES = 512, 4 << 20
 
-#: What a payload says, and which of several members one member is linked with.
-Read = Callable[[bytes], Any]
-Same = Callable[[Any, list], np.ndarray]
+#: What some payloads say, and which members (of others, by place) the member at a place (of some) is linked with.
+Read = Callable[[list[bytes]], Any]
+Same = Callable[[Any, int, Any, np.ndarray], np.ndarray]
 
 
 class Tile(NamedTuple):
     reps: list[int]
     clusters: np.ndarray
-    owns: list[int]  # components so far
-    members: list
+    owns: np.ndarray  # components so far
+    members: Any
 
 
 def meeting(buckets: DataFrame) -> DataFrame:
@@ -60,13 +60,13 @@ def confirmed(pairs: DataFrame, payloads: DataFrame, read: Read, same: Same) ->
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, blobs = [], (b.column(2), b.column(3))
-            for u, rows in groupby(range(b.num_rows), lambda k, us=b.column(0).to_pylist(): us[k]):
+            out, us, vs = [], b.column(0).to_pylist(), b.column(1).to_pylist()
+            for u, rows in groupby(range(b.num_rows), us.__getitem__):
                 rows = list(rows)
                 for at in range(0, len(rows), MEMBERS):
                     some = rows[at : at + MEMBERS]
-                    hit = same(read(blobs[0][some[0]].as_py()), [read(blobs[1][k].as_py()) for k in some])
-                    out += [(u, b.column(1)[k].as_py()) for k, x in zip(some, hit.tolist()) if x]
+                    hit = same(read([b.column(2)[some[0]].as_py()]), 0, read([b.column(3)[k].as_py() for k in some]), np.arange(len(some)))
+                    out += [(u, vs[k]) for k, x in zip(some, hit.tolist()) if x]
             yield edges(out)
 
     side = lambda name: payloads.select(F.col("rep").alias(name), F.col("payload").alias(f"p{name}"))
@@ -81,25 +81,19 @@ def edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def forest(a: Tile, b: Tile | None, same: Same) -> list[tuple[int, int]]:
     """Links inside a tile or between two that join what is not joined yet."""
     other = a if b is None else b
-    root: dict[int, int] = {}
-    out = []
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
+    mine, out = a.owns.copy(), []
+    theirs = mine if b is None else b.owns.copy()
     places = {int(c): np.flatnonzero(other.clusters == c) for c in np.unique(other.clusters)}
     for i, c in enumerate(a.clusters.tolist()):
-        own = find(a.owns[i])
-        js = [j for j in places.get(c, ()) if (b is not None or j > i) and find(other.owns[j]) != own]
-        if js:
-            for j in np.array(js)[same(a.members[i], [other.members[j] for j in js])].tolist():
-                x, y = find(a.owns[i]), find(other.owns[j])
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    out.append((a.reps[i], other.reps[j]))
+        js = places.get(c, np.zeros(0, np.int64))
+        js = js[js > i] if b is None else js
+        js = js[theirs[js] != mine[i]]
+        for j in js[same(a.members, i, other.members, js)].tolist() if len(js) else ():
+            x, y = int(mine[i]), int(theirs[j])
+            if x != y:
+                for labels in (mine, theirs):  # one array for one tile
+                    labels[labels == max(x, y)] = min(x, y)
+                out.append((a.reps[i], other.reps[j]))
     return out
 
 
@@ -108,14 +102,19 @@ def tiled(items: DataFrame, read: Read, same: Same) -> DataFrame:
     items = stored(items, "members")
     n = max(1, min(partitions(items.sparkSession), -(-items.count() // MEMBERS)))
     columns = ["reps", "clusters", "owns", "payloads"]
+    span_kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("cluster", "least", "most")]))
 
     def cut(batches):
         number, held, size = TaskContext.get().partitionId() << 24, [], 0
 
         def tile():
-            lists = [[number], *([[r[k] for r in held]] for k in range(4))]
-            kinds = (pa.int64(), *(pa.list_(pa.int64()),) * 3, pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(lists, kinds)], names=["tile", *columns])
+            owns: dict[int, list[int]] = {}
+            for r in held:
+                owns.setdefault(r[1], []).append(r[2])
+            spans = [{"cluster": c, "least": min(x), "most": max(x)} for c, x in owns.items()]
+            lists = [[number], [spans], *([[r[k] for r in held]] for k in range(4))]
+            kinds = (pa.int64(), span_kind, *(pa.list_(pa.int64()),) * 3, pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(lists, kinds)], names=["tile", "spans", *columns])
 
         for b in batches:
             for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -131,21 +130,20 @@ def tiled(items: DataFrame, read: Read, same: Same) -> DataFrame:
         for b in batches:
             out = []
             for x in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True):
-                a, *rest = (Tile(r, np.array(c), o, [read(m) for m in p]) for r, c, o, p in zip(x[::4], x[1::4], x[2::4], x[3::4]))
+                a, *rest = (Tile(r, np.array(c), np.array(o), read(p)) for r, c, o, p in zip(x[::4], x[1::4], x[2::4], x[3::4]))
                 out += forest(a, rest[0] if rest else None, same)
             yield edges(out)
 
     by = ["cluster", "own", "rep"]
-    tile = stored(items.select("rep", "cluster", "own", "payload").repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(lambda b: tidy(cut(b)), "tile long, reps array<long>, clusters array<long>, owns array<long>, payloads array<binary>"), "tiles")
-    span = tile.select("tile", F.explode(F.arrays_zip("clusters", "owns")).alias("x")).groupBy("tile", F.col("x.clusters").alias("cluster")).agg(F.min("x.owns").alias("least"), F.max("x.owns").alias("most"))
-    span = stored(span, "spans")
+    tile = stored(items.select("rep", "cluster", "own", "payload").repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(lambda b: tidy(cut(b)), "tile long, spans array<struct<cluster:long,least:long,most:long>>, reps array<long>, clusters array<long>, owns array<long>, payloads array<binary>"), "tiles")
+    span = tile.select("tile", F.inline("spans"))
     pure = span.where("least = most").groupBy("cluster", F.col("least").alias("own")).agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("own", F.struct("n", "own")).alias("main"))
     rest = span.join(pure, "cluster", "left").where("main is null or least < most or least <> main")  # tiles with more than their cluster's main component
     differ = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.tile") != F.col("y.tile")) & ((F.col("x.least") != F.col("y.least")) | (F.col("x.most") != F.col("y.most")) | (F.col("x.least") < F.col("x.most")))
     pair = rest.alias("x").join(span.alias("y"), differ).select(F.least("x.tile", "y.tile").alias("a"), F.greatest("x.tile", "y.tile").alias("b")).distinct()
     side = lambda name: tile.select(F.col("tile").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
     joined = pair.join(side("a"), "a").join(side("b"), "b").select(*(f"{x}_{c}" for x in "ab" for c in columns))
-    mixed = tile.join(span.where("least < most").select("tile").distinct(), "tile", "left_semi").select(*columns)
+    mixed = tile.where(F.exists("spans", lambda x: x.least < x.most)).select(*columns)
     return mixed.mapInArrow(lambda b: tidy(compare(b)), "u long, v long").union(joined.mapInArrow(lambda b: tidy(compare(b)), "u long, v long"))
 
 

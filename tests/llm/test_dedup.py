@@ -201,16 +201,22 @@ def vectors():
     for n, v in enumerate(base):
         out += [((v + rng.normal(size=24) * s).astype(np.float32).tolist(), n % 3) for s in (0, 0.2, 0.3, 0.3, 0.45)]
     out += [(out[0][0], 0), (out[0][0], 1), (out[0][0], None), ([2 * x for x in out[0][0]], 0), ([0.0] * 24, 0), (None, 0), ([], 0), ([float("nan")] * 24, 0), ([float("inf")] + [0.0] * 23, 0), ([None] * 24, 0), ([1.0, 2.0], 0), ([1.0, 2.0], 0)]
+    out += [([x * s for x in (1.0, 2.0, 0.5)], 0) for s in (1e-200, 3e-310, 1.0, 1e200, 1e300)] + [([0.0, 0.0, 1e-320], 0), ([-1e308, 1e308, 1e308], 0), ([-1e-200, 1e-200, 1e-200], 0)]
     return [(i, v, label, "x") for i, (v, label) in enumerate(out)]
 
 
+def cosine(v, w):
+    v, w = v / np.abs(v).max(), w / np.abs(w).max()
+    return v @ w / np.sqrt((v @ v) * (w @ w))
+
+
 @pytest.mark.parametrize("tile", [512, 5])
 def test_vectors(spark, tile, monkeypatch):
     monkeypatch.setattr(embed_dedup, "TILE", tile)
     rows = vectors()
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep string")
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")
     good = [(i, np.array(v, float), y) for i, v, y, _ in rows if y is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    pairs = [(i, j) for i, v, y in good for j, w, z in good if i != j and y == z and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.93]
+    pairs = [(i, j) for i, v, y in good for j, w, z in good if i != j and y == z and len(v) == len(w) and cosine(v, w) >= 0.93]
     assert len(pairs) > 40
     own = {i: i for i, *_ in rows}
     for _ in rows:
