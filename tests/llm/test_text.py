@@ -348,3 +348,68 @@ def test_pipeline_stages_take_effect(spark, tables):
 
 def test_every_operator_is_registered_once():
     assert [sum(n.startswith(f"op{i}_") for n in queries.QUERIES) for i in range(1, 11)] == [1] * 10
+
+
+def smooth(rng, side, cells=12):
+    """A picture of random tones on a grid, smoothly joined."""
+    tones = rng.random((cells + 1, cells + 1)) * 255
+    at = np.linspace(0, cells - 1e-6, side)
+    low = at.astype(int)
+    part = (at - low) ** 2 * (3 - 2 * (at - low))
+    tones = tones[low] * (1 - part)[:, None] + tones[low + 1] * part[:, None]
+    return tones[:, low] * (1 - part) + tones[:, low + 1] * part
+
+
+def warped(image, turn=0.0, scale=1.0):
+    h, w = image.shape
+    y, x = np.mgrid[: round(h * scale), : round(w * scale)].astype(float)
+    y, x = (y - y.max() / 2) / scale, (x - x.max() / 2) / scale
+    down = np.clip(y * np.cos(turn) - x * np.sin(turn) + (h - 1) / 2, 0, h - 1.001)
+    across = np.clip(y * np.sin(turn) + x * np.cos(turn) + (w - 1) / 2, 0, w - 1.001)
+    a, b = down.astype(int), across.astype(int)
+    f, g = down - a, across - b
+    return image[a, b] * (1 - f) * (1 - g) + image[a + 1, b] * f * (1 - g) + image[a, b + 1] * (1 - f) * g + image[a + 1, b + 1] * f * g
+
+
+def test_edited_copies_are_found_and_others_are_not(spark):
+    rng = np.random.default_rng(21)
+    edits = [
+        lambda p: np.clip(p + rng.normal(0, 8, p.shape), 0, 255),
+        lambda p: p[:112, 16:],
+        lambda p: p[25:115, 12:102],
+        lambda p: p[38:112, 25:99],
+        lambda p: warped(p, np.radians(20)),
+        lambda p: np.rot90(p),
+        lambda p: warped(p, scale=0.8),
+        lambda p: warped(p, scale=0.5),
+        lambda p: np.clip(p * 0.8 + 20, 0, 255),
+    ]
+    pictures = [smooth(rng, 128) for _ in range(20)]
+    images = [np.ascontiguousarray(x).astype(np.uint8) for p in pictures for x in (p, *(e(p) for e in edits))]
+    rows = [(n, x.shape[1], x.shape[0], x.tobytes()) for n, x in enumerate(images)]
+    got = {r.image_id: r.component_id for r in media.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
+    each = len(edits) + 1
+    for k in range(1, each):
+        assert sum(got[n * each + k] == n * each for n in range(20)) >= 18, k
+    assert all(c // each == n // each for n, c in got.items())
+
+
+def test_images_that_share_a_bucket_are_compared_or_joined(spark):
+    """Against all pairs of a small set, in tiles of a few members."""
+    rng = np.random.default_rng(22)
+    images = []
+    for _ in range(8):
+        p = smooth(rng, 64, 8)
+        images += [np.clip(p + rng.normal(0, s, p.shape), 0, 255).astype(np.uint8) for s in (0, 4, 8, 14)]
+    (described,) = [[d for x in images for d in media.describe(x[None])]]
+    some = media.read([p.tobytes() for p, _ in described])
+    own = [set(media.keys(p[s]).tolist()) for p, s in described]
+    root = list(range(len(images)))
+    for i in range(len(images)):
+        for j in np.flatnonzero(media.same(some, i, some, np.arange(len(images)))).tolist():
+            if own[i] & own[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    rows = [(n, x.shape[1], x.shape[0], x.tobytes(), "name") for n, x in enumerate(images)]
+    frame = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary, payload string")
+    assert [r.component_id for r in media.image_copies(frame).orderBy("image_id").collect()] == root and len(set(root)) == 8
