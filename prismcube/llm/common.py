@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -17,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismcube.scratch import shared_folder
+
 
 def importable(spark: SparkSession) -> None:
     """Python workers find this package where the driver found it, when it is not installed."""
@@ -26,15 +27,6 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (home, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="prismcube-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return
@@ -48,7 +40,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     The table is removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/prismcube-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/prismcube-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_quietly_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,8 +4,8 @@ Each document's hashed vector (the frequencies of its tokens, each hashed to a b
 matrix to DIMS coordinates and their cell gets a Hilbert number. Documents are range-sorted by that number, so neighbours on the
 curve share words, and every range is packed on its own: its documents are laid end to end and cut at every ``length``
 ids. What remains at the end of a range is cut at powers of two, largest first, so no sequence needs padding. Nothing
-is gathered on the driver, and ties on the curve (copies) are split by document and position, so a group of copies of
-any size spreads over ranges.
+is gathered on the driver, and ties on the curve (copies, repeated rows) are split by the row's place in the input, so a
+group of copies of any size spreads over ranges.
 
 Defined results: null text counts as empty; an empty document is its end id alone; repeated rows are packed each on
 its own; a null doc_id is kept as null; an empty table gives an empty result; other columns are ignored; documents of
@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from prismcube.llm.common import documents, pack_planes, partitions, stored, tidy, unpack_planes
@@ -123,6 +124,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
         vocabulary = spark.sparkContext.broadcast(f.read())  # one vocabulary file: its size is fixed
 
     def tokenised(batches):
+        row = TaskContext.get().partitionId() << 40  # of the first row; no two rows have the same
         encode = Encoder(vocabulary.value, pattern, added)
         for b in batches:
             first, size, column = 0, 0, b.column(1)
@@ -133,13 +135,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
                 docs = [np.append(encode(x.as_py()), np.uint32(end_id)) for x in column.slice(first, i + 1 - first)]
                 keys = curve_keys(np.concatenate(docs), np.cumsum([len(x) for x in docs]))
                 names = b.column(0).slice(first, i + 1 - first).to_pylist()
-                rows = [(key, doc, s, len(ids), pack_planes(ids[s : s + CHUNK_IDS], 1)) for key, doc, ids in zip(keys.tolist(), names, docs) for s in range(0, len(ids), CHUNK_IDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc_id", "start", "doc_tokens", "ids"])
-                first, size = i + 1, 0
+                rows = [(key, row + n, doc, s, len(ids), pack_planes(ids[s : s + CHUNK_IDS], 1)) for n, (key, doc, ids) in enumerate(zip(keys.tolist(), names, docs)) for s in range(0, len(ids), CHUNK_IDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*(pa.int64(),) * 5, pa.binary()))], names=["key", "row", "doc_id", "start", "doc_tokens", "ids"])
+                first, size, row = i + 1, 0, row + len(docs)
 
     def packed(batches):
-        from pyspark import TaskContext
-
         first, place = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []  # the last sequence so far: (doc_id, start, doc_tokens, ids)
 
@@ -156,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
         sequence = first
         for batch in batches:
             out = []
-            for doc, start, total, blob in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+            for doc, start, total, blob in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 ids, at = unpack_planes(blob, np.uint32), 0
                 while at < len(ids):
                     own = ids[at : at + length - place]
@@ -182,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
         if out:
             yield batch_of(out)
 
-    rows = documents(docs).mapInArrow(lambda b: tidy(tokenised(b)), "key long, doc_id long, start long, doc_tokens long, ids binary")
-    by_curve = ["key", "doc_id", "start"]
+    rows = documents(docs).mapInArrow(lambda b: tidy(tokenised(b)), "key long, row long, doc_id long, start long, doc_tokens long, ids binary")
+    by_curve = ["key", "row", "start"]
     ordered = stored(rows, "tokens").repartitionByRange(partitions(spark), *by_curve).sortWithinPartitions(*by_curve)
     return ordered.mapInArrow(lambda b: tidy(packed(b)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

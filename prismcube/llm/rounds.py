@@ -49,10 +49,10 @@ def meeting(buckets: DataFrame) -> DataFrame:
 
 
 def unresolved(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """rep, own (component so far) and low (smallest rep) of the buckets that hold several components, without their pivots."""
+    """The buckets that hold several components without their pivots: bucket, rep, own (component so far), pivot (the next one), first (its component)."""
     own = met.where("rep > pivot").select("bucket", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("own"))
-    ends = own.groupBy("bucket").agg(F.min("rep").alias("low"), F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
-    return own.join(ends.select("bucket", "low"), "bucket").select("rep", "own", "low").distinct()
+    ends = own.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.min_by("own", "rep").alias("first"), F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+    return own.join(ends.select("bucket", "pivot", "first"), "bucket")
 
 
 def confirmed(pairs: DataFrame, payloads: DataFrame, read: Read, same: Same) -> DataFrame:
@@ -147,14 +147,21 @@ def tiled(items: DataFrame, read: Read, same: Same) -> DataFrame:
     return mixed.mapInArrow(lambda b: tidy(compare(b)), "u long, v long").union(joined.mapInArrow(lambda b: tidy(compare(b)), "u long, v long"))
 
 
-def groups(met: DataFrame, payloads: DataFrame, read: Read, same: Same) -> DataFrame:
-    """id, component of the members that are linked with another. met: as meeting() gives them; payloads: rep, payload."""
-    pairs = met.where("rep > pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
-    links = stored(confirmed(pairs, payloads, read, same), "links")
-    labels = stored(components(links), "labels")
-    left = stored(unresolved(met, labels), "unresolved")
-    if left.isEmpty():
-        return labels
-    cluster = components(left.where("rep > low").select(F.col("low").alias("u"), F.col("rep").alias("v"))).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+def groups(met: DataFrame, payloads: DataFrame, read: Read, same: Same, pivots: int = 1) -> DataFrame:
+    """id, component of the members that are linked with another. met: as meeting() gives them; payloads: rep, payload.
+
+    pivots: how often a bucket has one before tiles; more pay where most buckets hold few members that aren't linked.
+    """
+    met, links = met.withColumns({"own": F.col("rep"), "first": F.col("pivot")}), None
+    for _ in range(pivots):
+        pairs = met.where("rep > pivot and own <> first").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
+        found = stored(confirmed(pairs, payloads, read, same), "links")
+        links = found if links is None else links.union(found)
+        labels = stored(components(links), "labels")
+        met = stored(unresolved(met, labels), "unresolved")
+        if met.isEmpty():
+            return labels
+    left = met.select("rep", "own", "pivot").distinct()
+    cluster = components(left.where("rep > pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v"))).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     items = left.select("rep", "own").distinct().join(cluster, "rep").join(payloads, "rep").select("rep", "cluster", "own", "payload")
     return components(links.union(tiled(items, read, same)))

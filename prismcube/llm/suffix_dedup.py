@@ -14,8 +14,6 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from prismcube.llm import windows
 from prismcube.llm.windows import Symbols
@@ -138,18 +136,18 @@ def without(data: bytes, runs: np.ndarray) -> bytes:
 
 
 def repeated_bytes(docs: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, spans (start, end of every removed run), kept (bytes that are left), rest (JSON of the others)."""
+    """doc_id, n_bytes, spans (start, end of every removed run), kept (bytes that are left)."""
 
-    def row(doc, data, rest, runs):
-        return doc, len(data), runs_as_list(runs), without(data, runs), rest
+    def row(doc, data, runs):
+        return doc, len(data), runs_as_list(runs), without(data, runs)
 
-    return windows.remove_repeats(docs, Bytes(k), row, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, rest string", key, text)
+    return windows.remove_repeats(docs, Bytes(k), row, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary", key, text)
 
 
 def repeated_bytes_digest(docs: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def row(doc, data, rest, runs):
+    def row(doc, data, runs):
         return doc, len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(without(data, runs)).hexdigest()
 
     return windows.remove_repeats(docs, Bytes(k), row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", key, text)
@@ -158,14 +156,6 @@ def repeated_bytes_digest(docs: DataFrame, k: int = 50, key: str = "doc_id", tex
 def without_repeats(docs: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with the repeated bytes taken out of their texts, all columns in place; ``length``, if there, is counted anew.
 
-    Bytes of a character that was cut apart go with its removed part. A null text stays null only as empty text.
+    Bytes of a character that was cut apart go with its removed part.
     """
-
-    def row(doc, data, rest, runs):
-        return doc, without(data, runs).decode("utf-8", "ignore"), rest
-
-    others = [f for f in docs.schema.fields if f.name not in (key, text)]
-    kept = windows.remove_repeats(docs, Bytes(k), row, "doc_id long, kept string, rest string", key, text)
-    whole = kept.select("doc_id", "kept", F.from_json("rest", StructType(others)).alias("rest")) if others else kept
-    columns = {key: F.col("doc_id").cast(docs.schema[key].dataType), text: F.col("kept"), length: F.char_length("kept").cast("long")}
-    return whole.select(*(columns[c].alias(c) if c in (key, text) or c == length and c in docs.columns else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    return windows.whole_rows(docs, Bytes(k), lambda data, runs: without(data, runs).decode("utf-8", "ignore"), key, text, length)

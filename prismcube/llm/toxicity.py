@@ -20,8 +20,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
-from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -31,10 +29,11 @@ from pyspark.sql import functions as F
 
 from prismcube.llm.common import documents, stored, tidy
 
-#: Labelled documents that training uses at most, entries picked for the lexicon at most (words behind stems are beside them).
-POSITIVE, NEGATIVE, ENTRIES = 1500, 4500, 96
-#: Candidate entries looked at closely, lengths of stems, least length of a word that may be misspelled.
-CANDIDATES, STEM, FUZZY = 3000, range(4, 11), 5
+#: Labelled documents that training uses at most. All else follows from them: an entry needs a two-hundredth of the
+#: toxic ones (LEAST of them), which bounds the lexicon.
+POSITIVE, NEGATIVE, LEAST = 1500, 4500, 3
+#: Lengths of stems, least length of a word that may be misspelled.
+STEM, FUZZY = range(4, 11), 5
 #: Words either side of a hit that its context takes.
 CONTEXT = 6
 #: Text bytes scored at a time.
@@ -281,47 +280,42 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
         return float(total.get(1, 0) > 0)
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = F.broadcast(pick(1, POSITIVE).union(pick(0, NEGATIVE)))  # at most POSITIVE + NEGATIVE ids
-    sample = stored(docs.join(chosen, "doc_id").select("toxic", "text"), "labelled").repartition(8)
+    sample = stored(docs.join(chosen, "doc_id").select("toxic", "text"), "labelled")
 
     def count(batches):
-        toxic: Counter = Counter()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if y:
-                    toxic.update(strings(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(toxic), pa.string()), pa.array(list(toxic.values()), pa.int64())], names=["entry", "n"])
+                seen[y].update(strings(t))
+        entries = list(seen[0] | seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *(pa.array([seen[y][e] for e in entries], pa.int64()) for y in (1, 0))], names=["entry", "c1", "c0"])
 
-    least = max(3, total[1] // 200 if total[1] < POSITIVE else POSITIVE // 200)
-    common = [r.entry for r in sample.mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(60_000).collect()]
-    wanted = spark.sparkContext.broadcast(frozenset(common))
+    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        return total[1] / (total[0] + total[1])
+    least = max(LEAST, n1 // 200)
+    each = sample.mapInArrow(lambda b: tidy(count(b)), "entry string, c1 long, c0 long").groupBy("entry").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    odds = F.log((F.col("c1") + 0.1) / n1) - F.log((F.col("c0") + 0.5) / n0)
+    telling = [(r.entry, r.odds) for r in each.where(F.col("c1") >= least).select("entry", odds.alias("odds"), "c1").where("odds > 1.5").orderBy(F.desc(F.col("c1") * F.col("odds")), "entry").collect()]
+    best = [e for e, _ in telling]
+    wanted = spark.sparkContext.broadcast({e: i for i, e in enumerate(best)})  # of at most POSITIVE documents' strings
 
     def incidence(batches):
         for b in batches:
-            got = [sorted(strings(t) & wanted.value) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(got, pa.list_(pa.string()))], names=["toxic", "entries"])
+            got = [sorted(wanted.value[e] for e in strings(t) & wanted.value.keys()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(got, pa.list_(pa.int32()))], names=["toxic", "entries"])
 
-    found = stored(sample.mapInArrow(incidence, "toxic int, entries array<string>"), "incidence")
-    n1, n0 = (n or 0 for n in found.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
-    if not n1 or not n0:
-        return total[1] / (total[0] + total[1])
-    c1, c0 = F.sum("toxic"), F.sum(1 - F.col("toxic"))
-    each = found.select("toxic", F.explode("entries").alias("entry")).groupBy("entry").agg(c1.alias("c1"), c0.alias("c0"))
-    odds = F.log((F.col("c1") + 0.1) / n1) - F.log((F.col("c0") + 0.5) / n0)
-    best = [r.entry for r in each.where(odds > 1.5).orderBy(F.desc(F.col("c1") * odds), "entry").limit(CANDIDATES).collect()]
-    rank = {e: i for i, e in enumerate(best)}
-    keep = F.array(*(F.lit(e) for e in best)) if best else F.array().cast("array<string>")
-    rows = found.select("toxic", F.array_intersect("entries", keep).alias("entries")).collect()
+    rows = sample.mapInArrow(lambda b: tidy(incidence(b)), "toxic int, entries array<int>").collect()
     hit = np.zeros((len(rows), max(1, len(best))), bool)
     for i, r in enumerate(rows):
-        hit[i, [rank[e] for e in r.entries]] = True
+        hit[i, r.entries] = True
     y = np.array([r.toxic for r in rows])
     entries, weights = greedy(hit, y, best, least)
-    stems = [e.text for e in entries if e.stem]
-    if stems:
-        under = reduce(or_, (F.col("entry").startswith(s) for s in stems))
-        behind = each.where(F.col("entry").endswith(" ") & under).select("entry", odds.alias("odds")).where("odds > 1.5").orderBy("entry").collect()  # of at most 60,000
-        behind = [(Entry(r.entry.strip(), False), r.odds) for r in behind if Entry(r.entry.strip(), False) not in entries]
-        entries, weights = [*entries, *(e for e, _ in behind)], np.array([*weights, *(w for _, w in behind)])
+    stems = tuple(e.text for e in entries if e.stem)
+    behind = [(Entry(e.strip(), False), o) for e, o in sorted(telling) if e.endswith(" ") and e.startswith(stems)] if stems else []
+    behind = [x for x in behind if x[0] not in entries]
+    entries, weights = [*entries, *(e for e, _ in behind)], np.array([*weights, *(w for _, w in behind)])
     model = Model.of(entries, weights)
 
     def near(batches):
@@ -333,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
                     clean.update(w for w, (_, kind) in hits(model, words).items() if kind == 1)
         yield pa.RecordBatch.from_arrays([pa.array(list(clean), pa.string()), pa.array(list(clean.values()), pa.int64())], names=["word", "n"])
 
-    ordinary = sample.mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "word").limit(100_000)
+    ordinary = sample.mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
     model = model._replace(ordinary=frozenset(r.word for r in ordinary.collect()))
 
     def measure(batches):
@@ -349,7 +343,7 @@ def greedy(hit: np.ndarray, y: np.ndarray, names: list[str], least: int) -> tupl
     toxic, clean = hit[y == 1], hit[y == 0].sum(0)
     n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
     left, entries, weights = np.ones(len(toxic), bool), [], []
-    while names and len(entries) < ENTRIES:
+    while names:  # every entry explains ``least`` documents more, so there are 200 at most
         new = toxic[left].sum(0)
         odds = np.log((new + 0.1) / n1) - np.log((clean + 0.5) / n0)
         value = np.where((new >= least) & (odds > 1.5), new * odds, 0)
@@ -364,7 +358,7 @@ def greedy(hit: np.ndarray, y: np.ndarray, names: list[str], least: int) -> tupl
     odds = np.log((total + 0.1) / n1) - np.log((clean + 0.5) / n0)
     for i in np.argsort(-total * odds, kind="stable") if names else ():
         word = Entry(names[i].strip(), not names[i].endswith(" "))
-        if len(entries) >= ENTRIES or total[i] < max(2 * least, n1 // 50):
+        if total[i] < max(2 * least, n1 // 50):
             break
         if odds[i] > 4 and word not in entries and not any(e.stem and word.text.startswith(e.text) for e in entries):
             entries.append(word)
@@ -401,7 +395,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str =
     if isinstance(model, float):
         scored = rows.select("doc_id", F.lit(model).alias("score"))
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(model)  # ENTRIES bounds the automata
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample bounds the lexicon and so the automata
 
         def scores(batches):
             for b in batches:

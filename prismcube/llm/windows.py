@@ -20,7 +20,7 @@ each sheet goes with its messages, and the job fails if they differ.
 
 Defined results: null text counts as empty; texts of fewer than k symbols keep everything; a null doc_id counts as
 larger than all others; rows with the same doc_id don't remove each other's windows; an empty table gives an empty
-result; columns besides id and text are handed on untouched and may have any name.
+result; columns besides id and text travel as Arrow (``whole_rows``), so any type and any name comes back as it was.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ from typing import NamedTuple, Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from prismcube.llm.common import check_digests, digest, give_back, pack, pack_planes, partitions, spread, tidy, unpack, unpack_planes
@@ -156,16 +158,28 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def stream_of(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def of_stream(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as reader:
+        return reader.read_next_batch()
+
+
 class Sheet:
     """A sheet as it travels: ids, texts' lengths and bytes, the other columns."""
 
-    schema = "sheet long, digest long, doc_ids array<long>, lengths binary, rest array<string>, texts binary"
+    schema = "sheet long, digest long, doc_ids array<long>, lengths binary, rest binary, texts binary"
 
     def __init__(self, number: int) -> None:
         self.number, self.bytes = number, 0
         self.ids: list = []
         self.texts: list[bytes] = []
-        self.rest: list = []
+        self.rest: list[pa.Array] | bytes = []
 
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -174,7 +188,7 @@ class Sheet:
                 pa.array([self.digest()], pa.int64()),
                 pa.array([self.ids], pa.list_(pa.int64())),
                 pa.array([pack(np.array([len(t) for t in self.texts], np.uint32))], pa.binary()),
-                pa.array([self.rest], pa.list_(pa.string())),
+                pa.array([stream_of(pa.RecordBatch.from_arrays([pa.concat_arrays(self.rest)], names=["rest"]))], pa.binary()),
                 pa.array([pack(b"".join(self.texts))], pa.binary()),
             ],
             names=["sheet", "digest", "doc_ids", "lengths", "rest", "texts"],
@@ -187,7 +201,7 @@ class Sheet:
     @classmethod
     def of(cls, row) -> Sheet:
         s = cls(row.sheet)
-        s.ids, s.rest = list(row.doc_ids), list(row.rest)
+        s.ids, s.rest = list(row.doc_ids), row.rest
         ends, raw = np.cumsum(unpack(row.lengths, np.uint32).astype(np.int64)).tolist(), unpack(row.texts)
         s.texts = [raw[a:b] for a, b in zip([0, *ends], ends)]
         return s
@@ -211,15 +225,18 @@ def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[Sheet]:
     """Of a partition's rows (doc_id, text, rest); their cut depends on the rows alone, not on the batches."""
     s = Sheet(TaskContext.get().partitionId() << 24)
     for batch in batches:
-        for i, text, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        first, rest = 0, batch.column(2)
+        for n, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1):
             t = text.as_buffer().to_pybytes()
             s.ids.append(i)
             s.texts.append(t)
-            s.rest.append(rest)
             s.bytes += len(t)
             if s.bytes >= SHEET_BYTES:
+                s.rest.append(rest.slice(first, n - first))
                 yield s
-                s = Sheet(s.number + 1)
+                s, first = Sheet(s.number + 1), n
+        if first < batch.num_rows:
+            s.rest.append(rest.slice(first))
     if s.ids:
         yield s
 
@@ -413,13 +430,47 @@ def removed(s: Sheet, answers: pd.DataFrame, method: Method, parts: int) -> Iter
 
 
 def remove_repeats(docs: DataFrame, method: Method, apply, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """apply(doc_id, text as bytes, rest as JSON, removed runs) gives each document's row under ``schema``."""
+    """apply(doc_id, text as bytes, removed runs) gives each document's row under ``schema``."""
     names = StructType.fromDDL(schema).names
-    spark = docs.sparkSession
-    parts = PARTS * partitions(spark)
+
+    def rows(s: Sheet, removed_runs) -> pd.DataFrame:
+        return pd.DataFrame([apply(i, t, x) for i, t, x in zip(s.ids, s.texts, removed_runs)], columns=names).astype({"doc_id": "Int64"})
+
+    return _removed(docs, method, rows, schema, F.lit(None).cast("string"), key, text)
+
+
+def whole_rows(docs: DataFrame, method: Method, apply, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with apply(text as bytes, removed runs) as texts, all columns in place; ``length``, if there, counts its letters.
+
+    A null text stays null.
+    """
     others = [c for c in docs.columns if c not in (key, text)]
-    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in others))) if others else F.lit(None).cast("string")
-    scan = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"), rest.alias("rest"))
+    rest = F.struct(F.col(f"`{text}`").isNull().alias("no_text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+
+    def rows(s: Sheet, removed_runs) -> pd.DataFrame:
+        kept = pa.array([apply(t, x) for t, x in zip(s.texts, removed_runs)], pa.large_string())
+        carried = of_stream(s.rest).column(0)
+        return pd.DataFrame({"rows": [stream_of(pa.RecordBatch.from_arrays([pa.array(s.ids, pa.int64(), from_pandas=True), kept, carried], names=["doc_id", "text", "rest"]))]})
+
+    def opened(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                got = of_stream(blob)
+                fields = got.column(2).flatten()
+                kept = pc.if_else(fields[0], pa.scalar(None, pa.large_string()), got.column(1))
+                own = {c: fields[i + 1] for i, c in enumerate(others)} | {key: got.column(0), text: kept}
+                if length in others:
+                    own[length] = pc.utf8_length(kept)
+                yield pa.RecordBatch.from_arrays([own[c].cast(kinds[c]) if c in kinds else own[c] for c in docs.columns], names=docs.columns)
+
+    kinds = {c: to_arrow_type(docs.schema[c].dataType) for c in (key, text, length) if c in docs.columns}
+    return _removed(docs, method, rows, "rows binary", rest, key, text).mapInArrow(lambda b: tidy(opened(b)), docs.schema)
+
+
+def _removed(docs: DataFrame, method: Method, rows, schema: str, rest, key: str, text: str) -> DataFrame:
+    """rows(sheet, every document's removed runs) of every sheet."""
+    parts = PARTS * partitions(docs.sparkSession)
+    scan = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8").alias("text"), rest.alias("rest"))
 
     def send_texts(batches):
         for s in sheets(batches):
@@ -462,9 +513,9 @@ def remove_repeats(docs: DataFrame, method: Method, apply, schema: str, key: str
         for row in left.itertuples(index=False):
             check_digests(row.digest, right["digest"])
             s = Sheet.of(row)
-            out += [apply(i, t, r, x) for i, t, r, x in zip(s.ids, s.texts, s.rest, removed(s, right, method, parts))]
+            out.append(rows(s, removed(s, right, method, parts)))
         give_back()
-        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=StructType.fromDDL(schema).names)
 
     texts = scan.mapInArrow(lambda b: tidy(send_texts(b)), Sheet.schema)
     keys = scan.mapInArrow(lambda b: tidy(send_keys(b)), "part int, sheet long, digest long, deltas binary, counts binary, multi binary")

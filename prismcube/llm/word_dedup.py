@@ -75,19 +75,19 @@ def kept_words(data: bytes, runs: np.ndarray) -> tuple[int, list[bytes]]:
 
 
 def repeated_words(docs: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (first, after the last of every removed run of words), kept (the rest, joined by a space), rest."""
+    """doc_id, n_words, spans (first, after the last of every removed run of words), kept (the others, joined by a space)."""
 
-    def row(doc, data, rest, runs):
+    def row(doc, data, runs):
         n, kept = kept_words(data, runs)
-        return doc, n, runs_as_list(runs), b" ".join(kept).decode(), rest
+        return doc, n, runs_as_list(runs), b" ".join(kept).decode()
 
-    return windows.remove_repeats(docs, Words(k), row, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string, rest string", key, text)
+    return windows.remove_repeats(docs, Words(k), row, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string", key, text)
 
 
 def repeated_words_digest(docs: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
 
-    def row(doc, data, rest, runs):
+    def row(doc, data, runs):
         n, kept = kept_words(data, runs)
         return doc, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 

@@ -97,6 +97,23 @@ def test_texts_without_repeats_keep_their_columns(docs):
     assert [(s.start, s.end) for s in spans[3]] == [(0, len(before[2].text.encode()))]
 
 
+def test_columns_of_any_type_come_back_as_they_were(spark, tmp_path):
+    import datetime as dt
+    from decimal import Decimal
+
+    passage = " ".join(f"word{i}" for i in range(40))
+    schema = "t timestamp, doc_id int, n timestamp_ntz, b binary, d decimal(20,4), x double, text string, a array<string>, s struct<u:int,v:date>, n_chars long"
+    row = lambda i, text: (dt.datetime(2024, 1, 2, 3, 4, 5, 123456), i, dt.datetime(1999, 12, 31, 23, 59, 59, 999999), bytearray(b"\x00\xff"), Decimal("12345.6789"), [1.5, float("nan"), None][i % 3], text, ["p", None] if i % 2 else None, (i, dt.date(2024, 2, 29)), 7)
+    spark.createDataFrame([row(1, passage), row(2, f"é {passage} é"), row(3, None), row(4, "")], schema).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    out = suffix_dedup.without_repeats(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    kept, before = ({r.doc_id: r for r in x.collect()} for x in (out, docs))
+    for i, r in before.items():
+        assert repr([kept[i][c] for c in docs.columns if c not in ("text", "n_chars")]) == repr([r[c] for c in docs.columns if c not in ("text", "n_chars")])
+    assert [(kept[i].text, kept[i].n_chars) for i in (1, 2, 3, 4)] == [(passage, len(passage)), ("é  é", 4), (None, None), ("", 0)]
+
+
 def test_empty_tables(empty):
     assert suffix_dedup.repeated_bytes_digest(empty).collect() == word_dedup.repeated_words_digest(empty).collect() == near_dedup.near_duplicates(empty).collect() == []
     assert suffix_dedup.without_repeats(empty).collect() == near_dedup.without_duplicates(empty).collect() == []

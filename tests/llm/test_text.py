@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import re
 import zlib
 from pathlib import Path
 
@@ -274,6 +276,77 @@ def test_toxicity_learns_only_from_rows_not_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def plain_score(model, text):
+    """The score without automata: every word against every entry by dynamic programming, contexts word by word."""
+
+    def within_one(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, old = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (c != e)))
+        return row[-1] == 1
+
+    def hit(w):
+        exact = [i for i, e in enumerate(model.entries) if not e.stem and e.text == w]
+        stems = [(len(e.text), i) for i, e in enumerate(model.entries) if e.stem and w.startswith(e.text) and len(w) > len(e.text)]
+        near = [i for i, e in enumerate(model.entries) if not e.stem and len(e.text) >= toxicity.FUZZY and within_one(w, e.text)]
+        if exact:
+            return exact[0], 0
+        return (min(stems)[1], 2) if stems else (near[0], 1) if near and w not in model.ordinary else None
+
+    lower = (text or "").lower()
+    spans = [m.span() for m in re.finditer(r"\w+", lower)]
+    words = [lower[a:b] for a, b in spans]
+    counts, seen, top = [0, 0, 0, 0], set(), 0.0
+    for i, w in enumerate(words):
+        found = hit(w)
+        if not found:
+            continue
+        around = range(max(0, i - toxicity.CONTEXT), min(len(words), i + toxicity.CONTEXT + 1))
+        reported = any(words[j] in toxicity.REPORTING and words[j] != w for j in around)
+        before, after = lower[spans[around[0]][0] : spans[i][0]], lower[spans[i][1] : spans[around[-1]][1] + 1]
+        opened = any(c in toxicity.QUOTES and before[k + 1 : k + 2] != "" and before[k + 1].isalnum() and not before[k - 1 : k].isalnum() or c in toxicity.QUOTES and k + 1 == len(before) and not before[k - 1 : k].isalnum() for k, c in enumerate(before))
+        closed = any(c in toxicity.QUOTES and not after[k - 1 : k].isspace() and not after[k + 1 : k + 2].isalnum() if k else c in toxicity.QUOTES and not after[1:2].isalnum() for k, c in enumerate(after))
+        if reported or opened and closed:
+            counts[3] += 1
+            continue
+        counts[found[1]] += 1
+        seen.add(found[0])
+        top = max(top, model.weights[found[0]] * (0.5 if found[1] == 1 else 1))
+    plain = sum(counts[:3])
+    x = [*(math.log1p(c) for c in counts), top, math.log1p(len(seen)), math.log1p(100 * plain / len(words)) if words else 0.0] if any(counts) else [0.0] * 7
+    z = model.beta[0] + sum(b * (v - m) / s for b, v, m, s in zip(model.beta[1:], x, model.mean, model.scale))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_those_of_a_plain_scorer(spark, tables):
+    docs, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
+    model = toxicity.trained(docs, labels, "doc_id", "text")
+    some = docs.where("length(text) < 4000").orderBy("doc_id").limit(150).collect()
+    chosen = [r.text for r in some] + [e.text + "x" for e in model.entries[:5]] + [f'he wrote "{e.text}x" there' for e in model.entries[:5]] + ["", None]
+    got = toxicity.probabilities(model, [t or "" for t in chosen])
+    assert np.allclose(got, [plain_score(model, t) for t in chosen], atol=1e-9) and got.max() > 0.5
+
+
+def test_toxicity_on_held_out_labels(spark, tables):
+    docs, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
+    rows = toxicity.score(docs, labels).join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert hits >= 0.6 * sum(r.toxic for r in rows) and hits >= 0.9 * sum(r.predicted for r in rows)  # of 14 toxic ones, some without a telling word
+
+
+def test_a_licence_body_is_found_without_its_title(spark):
+    parts = {}
+    for t in licenses.TEMPLATES:
+        parts.setdefault(t.name, []).append(t.text)
+    plain = "some words of an ordinary text that stand before and after " * 3
+    texts = [(name, plain + text + " " + plain) for name, some in parts.items() for text in some]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(10_000, plain)], "doc_id long, text string")
+    found = {(r.doc_id, r.license) for r in licenses.scan(frame).collect()}
+    assert {(i, name) for i, (name, _) in enumerate(texts)} <= found and not any(i == 10_000 for i, _ in found)
+
+
 def test_toxicity_finds_edits_inside_a_stem(spark):
     docs, labels = labelled(spark)
     plain = "kaban lodor mifel nugis pehum rajat " * 6
@@ -402,8 +475,9 @@ def test_images_that_share_a_bucket_are_compared_or_joined(spark):
         p = smooth(rng, 64, 8)
         images += [np.clip(p + rng.normal(0, s, p.shape), 0, 255).astype(np.uint8) for s in (0, 4, 8, 14)]
     (described,) = [[d for x in images for d in media.describe(x[None])]]
-    some = media.read([p.tobytes() for p, _ in described])
-    own = [set(media.keys(p[s]).tolist()) for p, s in described]
+    own = [media.keys(p[s]) for p, s in described]
+    some = media.read([media.payload(p, k) for (p, _), k in zip(described, own)])
+    own = [set(k.tolist()) for k in own]
     root = list(range(len(images)))
     for i in range(len(images)):
         for j in np.flatnonzero(media.same(some, i, some, np.arange(len(images)))).tolist():
