@@ -171,14 +171,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, key: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.registers.tobytes() + x.shingles.tobytes() for x in s], pa.binary())], names=["rep", "payload"])
 
     sketched = stored(rows.mapInArrow(lambda b: tidy(sketch(b)), "doc_id long, n long, digest binary, registers binary"), "sketches")
-    reps = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
+    first = stored(sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "first")
+    ids = F.broadcast(first.select("rep")) if first.count() <= BROADCAST_IDS else first.select("rep")
+    reps = sketched.where("n > 0").withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     buckets = stored(rounds.meeting(reps.select("rep", band.alias("band", "bucket")).select("rep", "bucket")), "buckets")
     members = buckets.select("rep")
     wanted = F.broadcast(members) if buckets.count() <= BROADCAST_IDS else members.distinct()
     sets = rows.join(wanted, rows.doc_id == members.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(lambda b: tidy(with_sets(b)), "rep long, payload binary")
     reach = rounds.groups(buckets, stored(sets, "sets"), read, lambda a, i, b, js: same(a, i, b, js, percent)).withColumnRenamed("id", "rep")
-    known = sketched.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).join(reach, "rep", "left")
+    known = first.join(reach, "rep", "left")
     known = known.where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
     known = stored(known, "known")  # so that the join on a digest that many rows have can be split
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(known, "digest", "left")

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from prismcube.llm.common import partitions, stored, tidy
 from prismcube.llm.components import components
 
+#: Rows of buckets for each task that compares members with pivots.
+ROWS_A_TASK = 1 << 12
 #: Members and payload bytes in a tile, at most (a larger member is a tile of its own).
 MEMBERS, BYTES = 512, 4 << 20
 
@@ -55,8 +57,8 @@ def unresolved(met: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(ends.select("bucket", "pivot", "first"), "bucket")
 
 
-def confirmed(pairs: DataFrame, payloads: DataFrame, read: Read, same: Same) -> DataFrame:
-    """Of pairs (u, v) those that are linked. A u with a share of all pairs is split by the skew join."""
+def confirmed(pairs: DataFrame, payloads: DataFrame, read: Read, same: Same, tasks: int) -> DataFrame:
+    """Of pairs (u, v) those that are linked, in so many tasks. A u with a share of all pairs is split by the skew join."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,7 +72,7 @@ def confirmed(pairs: DataFrame, payloads: DataFrame, read: Read, same: Same) ->
             yield edges(out)
 
     side = lambda name: payloads.select(F.col("rep").alias(name), F.col("payload").alias(f"p{name}"))
-    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "pu", "pv")
+    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "pu", "pv").coalesce(tasks)
     return both.mapInArrow(lambda b: tidy(check(b)), "u long, v long")
 
 
@@ -152,10 +154,10 @@ def groups(met: DataFrame, payloads: DataFrame, read: Read, same: Same, pivots:
 
     pivots: how often a bucket has one before tiles; more pay where most buckets hold few members that aren't linked.
     """
-    met, links = met.withColumns({"own": F.col("rep"), "first": F.col("pivot")}), None
+    met, links = met.withColumn("own", F.col("rep")).withColumn("first", F.col("pivot")), None
     for _ in range(pivots):
         pairs = met.where("rep > pivot and own <> first").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
-        found = stored(confirmed(pairs, payloads, read, same), "links")
+        found = stored(confirmed(pairs, payloads, read, same, 1 + met.count() // ROWS_A_TASK), "links")
         links = found if links is None else links.union(found)
         labels = stored(components(links), "labels")
         met = stored(unresolved(met, labels), "unresolved")
