@@ -161,14 +161,14 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     with tempfile.TemporaryDirectory() as home:
         done = house(spark, sf_dir).run_batch([*((n, catalog.DOCUMENTS[n]) for n in CORPUS), ("wrong", {"select": ["nothing"]})], home)
         timings = json.loads(Path(home, "timing_results.json").read_text())
-        rows = [(o.name, o.table, o.rows, o.error is None, Path(home, f"{o.name}.csv").exists(), t["name"] == o.name) for o, t in zip(done, timings, strict=True)]
+        rows = [(o.name, o.table or "", -1 if o.rows is None else o.rows, o.error is None, Path(home, f"{o.name}.csv").exists(), t["name"] == o.name) for o, t in zip(done, timings, strict=True)]
     return spark.createDataFrame(rows, "name string, rollup string, rows long, ok boolean, file boolean, timed boolean")
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = house(spark, sf_dir)
     found = [(n, engine.route(d)) for n, d in catalog.DOCUMENTS.items()]
-    return spark.createDataFrame([(n, r.table, r.is_rollup, r.rows) for n, r in found], "name string, rollup string, is_rollup boolean, rows long")
+    return spark.createDataFrame([(n, r.table, r.is_rollup, -1 if r.rows is None else r.rows) for n, r in found], "name string, rollup string, is_rollup boolean, rows long")
 
 
 def info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +382,7 @@ def routes_sql(names: Iterable[str]) -> str:
         able += [(n, r) for r, have in COVERS.items() if n not in ROWS_ONLY and reads <= {*have.split()}]
     pairs = ", ".join(f"('{n}', '{r}')" for n, r in able)
     every = ", ".join(f"('{n}')" for n in names)
-    return f"""select n.name, coalesce(best.rollup, 'detail') as rollup, best.rollup is not null as is_rollup, best.rows
+    return f"""select n.name, coalesce(best.rollup, 'detail') as rollup, best.rollup is not null as is_rollup, coalesce(best.rows, -1) as rows
   from (values {every}) as n(name) left join (
     select name, rollup, rows from (select a.name, s.rollup, s.rows, row_number() over (partition by a.name order by s.rows, s.rollup) as place
       from (values {pairs}) as a(name, rollup) join ({sizes}) as s using (rollup)) where place = 1) as best using (name)"""
@@ -391,7 +391,7 @@ def routes_sql(names: Iterable[str]) -> str:
 def batch_sql() -> str:
     counts = " union all ".join(f"select '{n}' as name, (select count(*) from ({catalog.sql_of(catalog.DOCUMENTS[n], catalog.MODEL, catalog.AD_VIEW)})) as rows" for n in CORPUS)
     return f"""select r.name, r.rollup, c.rows, true as ok, true as file, true as timed from ({routes_sql(CORPUS)}) as r join ({counts}) as c using (name)
-  union all select 'wrong', null, null, false, false, true"""
+  union all select 'wrong', '', -1, false, false, true"""
 
 
 def info_sql() -> str:
@@ -456,20 +456,20 @@ SQL: dict[str, str] = {
     "s_csv_by_name": TOTALS.replace("count(country)", "count(country) filter (user_id % 2 = 0)"),
     "s_detail": counted(f"{SQL_TIME_DIM['week']} as week, country, type"),
     "s_query_sources": " union all ".join(f"select '{k}' as source, '{n}' as name, (select count(*) from ({catalog.sql_of(catalog.DOCUMENTS['daily_revenue' if k == 'default' else 'country_in_counts'], catalog.MODEL, catalog.AD_VIEW)})) as n" for k, n in (("array", "q1"), ("object", "q1"), ("module", "q1"), ("folder", "first"), ("text", "q1"), ("default", "q1"))),
-    "s_column_sample": "select 100 as n, true as known",
+    "s_column_sample": "select cast(100 as bigint) as n, true as known",
     "s_row_sample": "select true as close",
     "s_head": f"select auction_id, type from {catalog.AD_VIEW} order by cast(auction_id as bigint) limit 10",
     "k_codecs": " union all ".join(f"select *, '{c}' as codec from ({catalog.state_sql(('day', 'type'))})" for c in ("lz4", "zstd", "none")),
     "k_one_day": catalog.state_sql(("day", "minute", "type"), f"where strftime(ts, '%Y-%m-%d') = '{DAY}'"),
     "k_partition_keys": f"select distinct {SQL_TIME_DIM['day']} as day from {catalog.AD_VIEW}",
-    "k_result_file": f"select 0 as line, 'country,type,COUNT(*)' as text union all select row_number() over (order by country desc nulls last, type), coalesce(country, '') || ',' || type || ',' || n from (select country, type, count(*) as n from {catalog.AD_VIEW} group by all)",
+    "k_result_file": f"select cast(0 as bigint) as line, 'country,type,COUNT(*)' as text union all select row_number() over (order by country desc nulls last, type), coalesce(country, '') || ',' || type || ',' || n from (select country, type, count(*) as n from {catalog.AD_VIEW} group by all)",
     "k_batch": batch_sql(),
     "k_info": info_sql(),
     "k_statistics": " union all ".join(f"select '{c}' as name, (select count(*) - count({SQL_TIME_DIM.get(c, c)}) from {catalog.AD_VIEW}) as nulls, true as close" for c in (*AD_EVENTS.schema.names, *SQL_TIME_DIM)),
     "v_refused": bool_sql(WRONG, "what", "refused"),
     "v_validate": bool_sql(("rollups", *sorted(r.name for r in AD_EVENTS.rollups), "detail", "smoke query"), "what", "passed"),
     "r_routes": routes_sql(catalog.DOCUMENTS),
-    "r_preload": " union all ".join(f"select '{s}' as state, {len(AD_EVENTS.rollups)} as rollups, country, n from ({counted('country')})" for s in ("preloaded", "reset")),
+    "r_preload": " union all ".join(f"select '{s}' as state, cast({len(AD_EVENTS.rollups)} as bigint) as rollups, country, n from ({counted('country')})" for s in ("preloaded", "reset")),
     "m_presets": " union all ".join(f"select '{p}' as preset, '{n}' as name, {rollup_rows_sql(AD_EVENTS.rollup(n).dims)} as rows" for p, names in (("core", CORE), ("combined", COMBINED)) for n in names),
     **dict.fromkeys(("m_direct_warehouse", "m_grouping_sets_warehouse"), catalog.state_sql(("hour", "type"))),
     "m_append": catalog.state_sql(("day", "country", "type")),
