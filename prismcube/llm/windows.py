@@ -461,9 +461,10 @@ def whole_rows(docs: DataFrame, method: Method, apply, key: str = "doc_id", text
                 own = {c: fields[i + 1] for i, c in enumerate(others)} | {key: got.column(0), text: kept}
                 if length in others:
                     own[length] = pc.utf8_length(kept)
-                yield pa.RecordBatch.from_arrays([own[c].cast(kinds[c]) if c in kinds else own[c] for c in docs.columns], names=docs.columns)
+                yield pa.RecordBatch.from_arrays([own[c].cast(kinds[c]) if c in kinds else own[c] for c in names], names=names)
 
-    kinds = {c: to_arrow_type(docs.schema[c].dataType) for c in (key, text, length) if c in docs.columns}
+    names = docs.columns
+    kinds = {c: to_arrow_type(docs.schema[c].dataType) for c in (key, text, length) if c in names}
     return _removed(docs, method, rows, "rows binary", rest, key, text).mapInArrow(lambda b: tidy(opened(b)), docs.schema)
 
 
