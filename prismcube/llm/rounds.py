@@ -145,6 +145,7 @@ def tiled(items: DataFrame, read: Read, same: Same) -> DataFrame:
     pair = rest.alias("x").join(span.alias("y"), differ).select(F.least("x.tile", "y.tile").alias("a"), F.greatest("x.tile", "y.tile").alias("b")).distinct()
     side = lambda name: tile.select(F.col("tile").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
     joined = pair.join(side("a"), "a").join(side("b"), "b").select(*(f"{x}_{c}" for x in "ab" for c in columns))
+    joined = joined.coalesce(max(1, min(partitions(items.sparkSession), tile.count() ** 2)))  # a skewed join may be split into many more
     mixed = tile.where(F.exists("spans", lambda x: x.least < x.most)).select(*columns)
     return mixed.mapInArrow(lambda b: tidy(compare(b)), "u long, v long").union(joined.mapInArrow(lambda b: tidy(compare(b)), "u long, v long"))
 
