@@ -4,12 +4,14 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -487,3 +489,23 @@ def test_images_that_share_a_bucket_are_compared_or_joined(spark):
     rows = [(n, x.shape[1], x.shape[0], x.tobytes(), "name") for n, x in enumerate(images)]
     frame = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary, payload string")
     assert [r.component_id for r in media.image_copies(frame).orderBy("image_id").collect()] == root and len(set(root)) == 8
+
+
+def test_image_workers_hold_few_rows_of_a_batch(monkeypatch):
+    """A worker's memory doesn't grow with the rows of an incoming batch; nothing of it is lost."""
+    vectors = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([None, *np.random.default_rng(3).random((2999, 16))], pa.list_(pa.float64()))], names=["image_id", "vector"])
+    images = list(media.draw(iter([vectors]), 2))
+    assert [i for b in images for i in b.column(0).to_pylist()] == list(range(3000)) and max(b.num_rows for b in images) <= media.ROWS
+    points = np.zeros(100, media.POINT)
+    points["bits"] = np.random.default_rng(4).integers(0, 256, points["bits"].shape)
+    monkeypatch.setattr(media, "describe", lambda stack: [(points, np.ones(100, bool))] * len(stack))
+    peaks = []
+    for n in (media.ROWS, 12 * media.ROWS):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), *(pa.array([32] * n, pa.int32()),) * 2, pa.array([None, *[bytes(32 * 32)] * (n - 1)], pa.binary())], names=["image_id", "width", "height", "pixels"])
+        tracemalloc.start()
+        assert [i for b in media.pointed(iter([batch])) for i in b.column(0).to_pylist()] == list(range(n))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 3 * peaks[0]
+    large = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([bytes(media.HELD + 1), None, b"x"], pa.binary())], names=["id", "pixels"])
+    assert [b.num_rows for b in media.slices(iter([large]), 1)] == [1, 2]
