@@ -42,8 +42,8 @@ from prismcube.llm.common import check_digests, digest, give_back, pack, pack_pl
 
 #: Text bytes in a sheet, and in a piece of it that is hashed at a time: bound a task's memory.
 SHEET_BYTES, PIECE_BYTES = 8 << 20, 1 << 18
-#: Parts for each shuffle partition.
-PARTS = 4
+#: Ranges of keys that a part finds classes in, one after the other; strings' bytes that classes are found among at a time.
+RANGES, CLASS_BYTES = 4, 1 << 18
 #: Super-k-mers with one minimiser from which on it is hot.
 HOT = 1 << 16
 #: Stands for a null doc_id.
@@ -338,32 +338,66 @@ def candidates(s: Sheet, answers: pd.DataFrame, method: Method, parts: int) -> C
 
 
 def window_classes(strings: list[bytes], key: np.ndarray, method: Method) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Method.classes of distinct strings; one that is alone under its minimiser's key shares its windows with none."""
+    """Method.classes of distinct strings; one that is alone under its minimiser's key shares its windows with none.
+
+    Equal windows are under one key, so the strings go CLASS_BYTES at a time, by whole keys.
+    """
     _, back, times = np.unique(key, return_inverse=True, return_counts=True)
     alone = times[back] == 1
-    mixed_, lone = np.flatnonzero(~alone), np.flatnonzero(alone)
-    string, place, cls = (np.zeros(0, np.int64),) * 3
-    if len(mixed_):
-        string, place, cls = method.classes([strings[i] for i in mixed_])
-        string = mixed_[string]
+    several, lone = np.flatnonzero(~alone), np.flatnonzero(alone)
+    several = several[np.argsort(back[several], kind="stable")]
+    last = np.flatnonzero(np.append(back[several][1:] != back[several][:-1], True)) if len(several) else several  # of each key
+    ends = np.cumsum(np.fromiter((len(strings[i]) for i in several), np.int64, len(several)))
+    string, place, cls, found, low = [], [], [], 0, 0
+    while low < len(several):
+        full = np.searchsorted(ends, (ends[low - 1] if low else 0) + CLASS_BYTES)
+        high = int(last[np.searchsorted(last, min(full, len(several) - 1))]) + 1
+        own = several[low:high]
+        x, p, c = method.classes([strings[i] for i in own.tolist()])
+        string.append(own[x])
+        place.append(p)
+        cls.append(c + found)
+        found, low = found + (int(c.max()) + 1 if len(c) else 0), high
     have = np.fromiter((method.size(strings[i]) for i in lone), np.int64, len(lone)) - method.k + 1
     more = np.repeat(lone, have)
     step = spread(np.zeros(len(have), np.int64), have)
-    return np.append(string, more), np.append(place, step), np.append(cls, (int(cls.max()) + 1 if len(cls) else 0) + np.repeat(np.arange(len(lone)), have))
+    return np.concatenate([*string, more]), np.concatenate([*place, step]), np.concatenate([*cls, found + np.repeat(np.arange(len(lone)), have)])
+
 
+def runs_of(pdf: pd.DataFrame, method: Method, parts: int) -> pd.DataFrame:
+    """Answers to every sheet of a part: runs of windows that also start in a smaller document than one of its own.
 
-def runs_of(pdf: pd.DataFrame, method: Method) -> pd.DataFrame:
-    """Answers to every sheet of a part: runs of windows that also start in a smaller document than one of its own."""
+    Sheets' strings are in order of their keys; they are taken RANGES times, so that windows of a range are held at once.
+    """
     lengths = [unpack_planes(x, np.uint32).astype(np.int64) for x in pdf["lengths"]]
-    size = np.array([len(x) for x in lengths])
-    raw = b"".join(unpack(x) for x in pdf["strings"])
-    low, high = (np.concatenate([unpack_planes(x, np.int64) for x in pdf[c]]) for c in ("low", "high"))
-    cut = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    keys = [np.cumsum(unpack_planes(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]]
+    low, high = ([unpack_planes(x, np.int64) for x in pdf[c]] for c in ("low", "high"))
+    raw = [unpack(x) for x in pdf["strings"]]
+    ends = [np.append(0, np.cumsum(x)) for x in lengths]
+    cuts = [np.searchsorted(part_of(x, parts * RANGES) - p * RANGES, np.arange(RANGES + 1)) for x, p in zip(keys, pdf["part"])]
+    got: list[list[list[np.ndarray]]] = [[] for _ in raw]
+    for r in range(RANGES):
+        own = [slice(int(c[r]), int(c[r + 1])) for c in cuts]
+        taken = lambda of: np.concatenate([x[o] for x, o in zip(of, own)])  # noqa: E731, B023
+        size = np.array([o.stop - o.start for o in own])
+        if not size.any():
+            continue
+        data = b"".join(memoryview(x)[int(e[o.start]) : int(e[o.stop])] for x, e, o in zip(raw, ends, own))
+        for n, runs in enumerate(range_runs(data, taken(lengths), taken(keys), taken(low), taken(high), size, method)):
+            got[n].append([(runs[0] + own[n].start).astype(np.uint32), *runs[1:]])
+    none = [np.zeros(0, np.uint32)] * 3 + [np.zeros(0, np.int64)]
+    out = [pack(b"".join(pack_with_size(np.concatenate(x)) for x in zip(none, *some))) for some in got]
+    return pd.DataFrame({"sheet": pdf["sheet"], "digest": pdf["digest"], "kind": 1, "part": pdf["part"], "answer": out})
+
+
+def range_runs(raw: bytes, lengths: np.ndarray, keys: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray, method: Method) -> Iterator[list[np.ndarray]]:
+    """For each sheet, which sent ``size`` of the strings: of every run its string's number, its ends, the smallest document."""
+    cut = np.append(0, np.cumsum(lengths))
     whole = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
     number, n = whole.indices.to_numpy().astype(np.int64), len(whole.dictionary)
     least, key = np.full(n, LAST), np.empty(n, np.uint64)
     np.minimum.at(least, number, low)
-    key[number] = np.concatenate([np.cumsum(unpack_planes(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]])
+    key[number] = keys
     string, place, cls = window_classes(whole.dictionary.to_pylist(), key, method)
     smallest = np.full(int(cls.max()) + 1 if len(cls) else 0, LAST)
     np.minimum.at(smallest, cls, least[string])
@@ -371,7 +405,7 @@ def runs_of(pdf: pd.DataFrame, method: Method) -> pd.DataFrame:
     string, smallest = string[by], smallest[cls[by]]
     first = np.searchsorted(string, np.arange(n))
     windows = np.diff(np.append(first, len(string)))
-    out, at = [], np.concatenate([[0], np.cumsum(size)])
+    at = np.concatenate([[0], np.cumsum(size)])
     for a, b in zip(at[:-1], at[1:]):
         own = number[a:b]
         idx = spread(first[own], windows[own])
@@ -383,8 +417,7 @@ def runs_of(pdf: pd.DataFrame, method: Method) -> pd.DataFrame:
         begin = np.flatnonzero(new)
         ends = np.flatnonzero(hit & np.append(~hit[1:] | new[1:], True))
         offset = np.arange(len(idx)) - np.repeat(np.cumsum(windows[own]) - windows[own], windows[own])
-        out.append(pack(b"".join(pack_with_size(x) for x in (row[begin].astype(np.uint32), offset[begin].astype(np.uint32), offset[ends].astype(np.uint32) + 1, least_of[begin].astype(np.int64)))))
-    return pd.DataFrame({"sheet": pdf["sheet"], "digest": pdf["digest"], "kind": 1, "part": pdf["part"], "answer": out})
+        yield [row[begin], offset[begin].astype(np.uint32), (offset[ends] + 1).astype(np.uint32), least_of[begin].astype(np.int64)]
 
 
 def pack_with_size(x: np.ndarray) -> bytes:
@@ -470,7 +503,7 @@ def whole_rows(docs: DataFrame, method: Method, apply, key: str = "doc_id", text
 
 def _removed(docs: DataFrame, method: Method, rows, schema: str, rest, key: str, text: str) -> DataFrame:
     """rows(sheet, every document's removed runs) of every sheet."""
-    parts = PARTS * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     scan = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8").alias("text"), rest.alias("rest"))
 
     def send_texts(batches):
@@ -523,5 +556,5 @@ def _removed(docs: DataFrame, method: Method, rows, schema: str, rest, key: str,
     answer = "sheet long, digest long, kind int, part int, answer binary"
     known = keys.groupBy("part").applyInPandas(judge_keys, answer)
     strings = texts.groupBy("sheet").cogroup(known.groupBy("sheet")).applyInPandas(send_strings, "part int, sheet long, digest long, lengths binary, strings binary, keys binary, low binary, high binary")
-    found = strings.groupBy("part").applyInPandas(lambda pdf: runs_of(pdf, method), answer)
+    found = strings.groupBy("part").applyInPandas(lambda pdf: runs_of(pdf, method, parts), answer)
     return texts.groupBy("sheet").cogroup(known.unionByName(found).groupBy("sheet")).applyInPandas(finish, schema)

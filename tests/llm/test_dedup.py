@@ -5,6 +5,7 @@ import random
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from prismcube.llm import common, components, embed_dedup, near_dedup, rounds, suffix_dedup, windows, word_dedup
@@ -70,6 +71,37 @@ def test_small_sheets_give_the_same(docs, monkeypatch):
     assert by_row(map(tuple, word_dedup.repeated_words_digest(docs, 20).collect())) == expected_words(docs, 20)
 
 
+@pytest.mark.parametrize("method", [suffix_dedup.Bytes(), word_dedup.Words()])
+def test_classes_are_found_among_few_strings_at_a_time(method, monkeypatch):
+    """A part of any size gives the same answers range by range, and sorts CLASS_BYTES (and one key's strings) at a time."""
+    rng, sheets = random.Random(5), []
+    words = ["".join(rng.choices("abcdefg", k=6)) for _ in range(400)]
+    passages = [" ".join(rng.choices(words, k=150)) for _ in range(30)]
+    for n in range(3):
+        s = windows.Sheet(n)
+        s.ids, s.texts = list(range(n, 60, 3)), [f"{rng.choice(passages)} {i} {rng.choice(passages)}".encode() for i in range(n, 60, 3)]
+        sheets.append(s)
+    rows = []
+    for s in sheets:
+        keys = windows.sheet_keys(s, method).key
+        c = windows.candidates(s, pd.DataFrame({"kind": [0], "part": [0], "answer": [common.pack(np.ones(len(keys), np.uint8))]}), method, 1)
+        own = c.strings.to_pylist()
+        rows.append((0, s.number, 0, common.pack_planes(np.array([len(x) for x in own], np.uint32)), common.pack(b"".join(own)), common.pack_planes(np.diff(c.key, prepend=np.uint64(0))), common.pack_planes(c.low), common.pack_planes(c.high)))
+    pdf, kinds = pd.DataFrame(rows, columns=["part", "sheet", "digest", "lengths", "strings", "keys", "low", "high"]), [np.uint32, np.uint32, np.uint32, np.int64]
+    seen, classes = [], method.classes
+    monkeypatch.setattr(type(method), "classes", lambda self, strings: seen.append(sum(map(len, strings))) or classes(strings))
+    answers = []
+    for ranges, size in ((1, 1 << 40), (4, 500)):
+        monkeypatch.setattr(windows, "RANGES", ranges)
+        monkeypatch.setattr(windows, "CLASS_BYTES", size)
+        whole = max(seen, default=0)
+        seen.clear()
+        got = windows.runs_of(pdf, method, 1)["answer"]
+        answers.append([[list(zip(*(y.tolist() for y in windows.unpack_sized(common.unpack(x), kinds))))] for x in got])
+        assert ranges == 1 or len(seen) > 4 and max(seen) < whole / 2
+    assert answers[0] == answers[1] and any(x for some in answers[0] for x in some)
+
+
 def test_a_changed_sheet_is_noticed():
     common.check_digests(5, [5, 5])
     with pytest.raises(RuntimeError):
