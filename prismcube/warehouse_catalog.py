@@ -1,6 +1,6 @@
 """Registered queries that go the way a user goes: CSV parts, prepare, a stored warehouse, automatic routes.
 
-One warehouse is built for each folder of test tables and session, below the shared folder. Its events are those of
+One warehouse is built for each table of events and session, below the shared folder. Its events are those of
 ``catalog.ad_events``, written as CSV with times in epoch milliseconds. The SQL reads the driver's own tables.
 """
 
@@ -33,7 +33,7 @@ from prismcube.streaming.incremental import keep_current
 CORPUS = [n for n in catalog.DOCUMENTS if not n.startswith(("f_", "p_", "a_", "t_", "o_", "rw_"))]
 DAY = "2024-01-15"
 
-_HOUSES: dict[tuple[str, str], Engine] = {}
+_HOUSES: dict[tuple, Engine] = {}
 
 
 def folder(spark: SparkSession, what: str) -> str:
@@ -52,9 +52,16 @@ def csv_parts(spark: SparkSession, sf_dir: str) -> str:
     return where
 
 
+def written(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: other ones are another table, though its path is the same."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    each = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in each))
+
+
 def house(spark: SparkSession, sf_dir: str) -> Engine:
-    """CSV parts, read with types and prepared with all rollups, the minute rollup by day."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """CSV parts, read with types and prepared with all rollups, the minute rollup by day; anew when the events changed."""
+    key = spark.sparkContext.applicationId, sf_dir, written(spark, f"{sf_dir}/events.parquet")
     if key not in _HOUSES:
         engine = Engine(spark, AD_EVENTS, folder(spark, "house"))
         engine.prepare(sources.read_csv(spark, csv_parts(spark, sf_dir), AD_EVENTS))

@@ -35,6 +35,19 @@ def test_equals_sql(spark, duck, tables, name):
     assert sorted([as_text(r[c]) for c in order] for r in frame.collect()) == expected
 
 
+def test_a_warehouse_follows_its_events(spark, small, tmp_path):
+    """Other events under the same path are another warehouse."""
+    name, n = "w_christmas_minutes", []
+    for copies in (1, 3):
+        duckdb.sql(f"copy (select event_id + 1000000 * k as event_id, * exclude (event_id) from '{small}/events.parquet', range({copies}) as t(k)) to '{tmp_path}/events.parquet'")
+        con = duckdb.connect()
+        con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+        got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.execute(SQL[name]).fetchall())
+        n.append(sum(r[1] for r in got))
+    assert n[1] == 3 * n[0] > 0
+
+
 def test_entry_and_registration(spark, small):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
